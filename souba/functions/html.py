@@ -15,7 +15,7 @@ _DOT_ALL = "(?is)"
 
 # --- fixed values: named character references met on the pages ---------------
 NAMED_ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'",
+    "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'",
     "&yen;": "¥", "&reg;": "®", "&trade;": "™", "&copy;": "©", "&times;": "×",
 }
 

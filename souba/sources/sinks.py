@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from souba.schemas import PRICE_HISTORY
 
@@ -29,21 +29,22 @@ def json_records(df: DataFrame, column: str = "record") -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(column))
 
 
-def append_history(observations: DataFrame, path: str) -> None:
-    """A7 append-only history, one folder per observation day.
+def append_history(observations: DataFrame, path: str, unit: str = "day") -> None:
+    """A7 append-only history, one folder per observation day (or month, for long backfills).
 
-    Rows of a day go to few writers, but a big day is still split by the
+    Rows of a folder go to few writers, but a big one is still split by the
     adaptive rebalance instead of landing in one task.
     """
     (
-        observations.withColumn("obs_date", F.to_date("scraped_at"))
+        observations.withColumn("obs_date", F.to_date(F.date_trunc(unit, "scraped_at")))
         .hint("rebalance", "obs_date")
         .write.mode("append").partitionBy("obs_date").parquet(path)
     )
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PRICE_HISTORY.add("obs_date", "date")).parquet(path)
+    schema = T.StructType([*PRICE_HISTORY.fields, T.StructField("obs_date", T.DateType())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def append_predictions(scored: DataFrame, path: str) -> None:
