@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from souba.functions.text import blank_to_null, strip
+from souba.functions.text import blank_to_null, let, strip
 
 _DOT_ALL = "(?is)"
 
@@ -54,8 +54,8 @@ def cards_in_list(html: Column, list_class: str | None = None, container: str =
 
 def inner(fragment: Column, tag: str, css_class: str | None = None) -> Column:
     """Inner HTML of the first such element; null when there is none."""
-    pattern = f"{_DOT_ALL}{opening(tag, css_class)}(.*?)</{tag}\\s*>"
-    return F.get(F.regexp_extract_all(fragment, F.lit(pattern), F.lit(1)), 0)
+    whole = blank_to_null(F.regexp_extract(fragment, f"{_DOT_ALL}{opening(tag, css_class)}.*?</{tag}\\s*>", 0))
+    return F.regexp_replace(whole, r"^<[^>]*>|<[^<]*$", "")
 
 
 def inner_all(fragment: Column, tag: str, css_class: str | None = None) -> Column:
@@ -78,8 +78,8 @@ def first_tag(fragment: Column, tag: str, css_class: str | None = None, attribut
 def attribute(tag_text: Column, name: str) -> Column:
     """Value of an attribute of an opening tag; null when absent or empty."""
     pattern = rf"{_DOT_ALL}\s\Q{name}\E\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-    values = [blank_to_null(F.regexp_extract(tag_text, pattern, i)) for i in (1, 2, 3)]
-    return unescape(F.coalesce(*values))
+    return unescape(let(tag_text, lambda t: F.coalesce(
+        *[blank_to_null(F.regexp_extract(t, pattern, i)) for i in (1, 2, 3)])))
 
 
 def has_class(tag_text: Column, css_class: str) -> Column:
@@ -88,21 +88,23 @@ def has_class(tag_text: Column, css_class: str) -> Column:
 
 def unescape(text: Column) -> Column:
     """Character references to characters; ``&amp;`` last, so nothing is decoded twice."""
-    for name, char in NAMED_ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = _numeric_references(text)
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    def decoded(t: Column) -> Column:
+        for name, char in NAMED_ENTITIES.items():
+            t = F.replace(t, F.lit(name), F.lit(char))
+        return F.replace(_numeric_references(t), F.lit("&amp;"), F.lit("&"))
+    return let(text, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 
 
 def _numeric_references(text: Column) -> Column:
-    """``&#N;`` and ``&#xN;``; touched only when the text has one."""
+    """``&#N;`` and ``&#xN;``"""
     def decoded(acc: Column, ref: Column) -> Column:
         is_hex = F.lower(ref).startswith("x")
         digits = F.when(is_hex, F.substring(ref, 2, 8)).otherwise(F.conv(ref, 10, 16))
         char = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
         return F.replace(acc, F.concat(F.lit("&#"), ref, F.lit(";")), char)
-    references = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([xX][0-9a-fA-F]{1,6}|\d{1,7});"), F.lit(1)))
-    return F.when(text.contains("&#"), F.aggregate(references, text, decoded)).otherwise(text)
+    pattern = r"&#([xX][0-9a-fA-F]{1,6}|\d{1,7});"
+    return let(text, lambda t: F.aggregate(
+        F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(1))), t, decoded))
 
 
 def text_of(inner_html: Column) -> Column:

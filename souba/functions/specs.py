@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from souba import fixed_values as fv
-from souba.functions.text import ANY_CASE, UNICODE, blank_to_null, first_match, literal_pattern, strip
+from souba.functions.text import ANY_CASE, blank_to_null, first_match, let, literal_pattern, strip
 
 
 def _any(text: Column, pattern: str, group: int = 1) -> Column:
@@ -26,8 +26,8 @@ def model(text: Column) -> Column:
     """H3 labelled model number, else family name and the token after it."""
     field = blank_to_null(strip(F.regexp_extract(text, ANY_CASE + fv.MODEL_FIELD, 1)))
     family = r"(" + literal_pattern(fv.MODEL_FAMILIES) + r")\s+([\w\-]+)"
-    words = F.concat_ws(" ", _any(text, family, 1), _any(text, family, 2))
-    return F.coalesce(field, blank_to_null(words))
+    words = F.regexp_replace(_any(text, family, 0), r"(?U)\s+", " ")
+    return F.coalesce(field, words)
 
 
 def operating_system(text: Column) -> Column:
@@ -39,7 +39,7 @@ def cpu(text: Column) -> Column:
     """H5 Japanese long form first, else the model-number form."""
     def form(pattern: str) -> Column:
         found = F.regexp_replace(strip(_any(text, pattern, 0)), "[,。　]+$", "")
-        return F.when(F.length(found) > 4, found)
+        return let(found, lambda f: F.when(F.length(f) > 4, f))
     return F.coalesce(form(fv.CPU_JAPANESE), form(fv.CPU_LATIN))
 
 
@@ -47,24 +47,25 @@ def cpu_generation(text: Column) -> Column:
     """H6 named generation, else read off the CPU's model number."""
     low, high = fv.CPU_GENERATION_RANGE
     number = first_match(text, fv.GENERATION_FROM_NUMBER).try_cast("int")
+    plausible = let(number, lambda n: F.when(n.between(low, high), n.cast("string")))
     return F.coalesce(
         first_match(text, fv.GENERATION_JAPANESE),
         _any(text, fv.GENERATION_ENGLISH),
         _any(text, fv.GENERATION_FROM_CPU),
-        F.when(number.between(low, high), number.cast("string")),
+        plausible,
     )
 
 
 def memory(text: Column) -> Column:
     """H7 first pattern whose first hit is a size that exists."""
-    def hit(pattern: str) -> Column:
-        size = _any(text, pattern).try_cast("int")
-        return F.when(size.isin(fv.MEMORY_SIZES_GB), F.concat(size.cast("string"), F.lit("GB")))
-    return F.coalesce(*[hit(p) for p in fv.MEMORY])
+    sizes = F.create_map(*[F.lit(x) for gb in fv.MEMORY_SIZES_GB for x in (gb, f"{gb}GB")])
+    return F.coalesce(*[F.try_element_at(sizes, _any(text, p).try_cast("int")) for p in fv.MEMORY])
 
 
 def _capacity(text: Column, patterns: list[str]) -> Column:
-    return F.coalesce(*[F.concat(_any(text, p, 1), F.upper(_any(text, p, 2))) for p in patterns])
+    """Number and unit of the first hit, written together with the unit in capitals."""
+    number_and_unit = r"(?isU)^.*?(\d+)\s*(GB|TB).*$"
+    return F.coalesce(*[F.upper(F.regexp_replace(_any(text, p, 0), number_and_unit, "$1$2")) for p in patterns])
 
 
 def ssd(text: Column) -> Column:
@@ -79,8 +80,8 @@ def hdd(text: Column) -> Column:
 
 def _measure(text: Column, patterns: list[str], limits: tuple[float, float], unit: str) -> Column:
     def hit(pattern: str) -> Column:
-        value = _any(text, pattern).try_cast("double")
-        return F.when(value.between(*limits), F.concat(value.cast("string"), F.lit(unit)))
+        return let(_any(text, pattern).try_cast("double"), lambda value: F.when(
+            value.between(*limits), F.concat(value.cast("string"), F.lit(unit))))
     return F.coalesce(*[hit(p) for p in patterns])
 
 
@@ -139,11 +140,14 @@ def _common_subsequence_length(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(F.split(a, ""), start, next_row), -1)
 
 
+def _words_in_order(text: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")), " ")
+
+
 def token_sort_similarity(a: Column, b: Column) -> Column:
     """0-100: twice the common subsequence over both lengths, words put in order first."""
-    ordered = lambda s: F.array_join(F.array_sort(F.filter(F.split(s, r"(?U)\s+"), lambda w: w != "")), " ")
-    left, right = ordered(a), ordered(b)
-    return 200.0 * _common_subsequence_length(left, right) / (F.length(left) + F.length(right))
+    return let(F.struct(_words_in_order(a).alias("a"), _words_in_order(b).alias("b")), lambda s: (
+        200.0 * _common_subsequence_length(s["a"], s["b"]) / (F.length(s["a"]) + F.length(s["b"]))))
 
 
 def known_brand(raw: Column) -> Column:
@@ -155,17 +159,23 @@ def known_brand(raw: Column) -> Column:
 def closest_brand(raw: Column) -> Column:
     """H11 fuzzy part: best brand at or above the cutoff (ties: first listed), else null.
 
-    A brand whose length alone rules the cutoff out is not compared.
+    A brand is compared only when its length and the characters it shares with
+    the text leave the cutoff within reach.
     """
-    size = F.length(raw)
-    reachable = lambda b: (
-        200.0 * F.least(size, F.length(b)) >= fv.BRAND_FUZZY_CUTOFF * (size + F.length(b))
-    )
-    candidates = F.filter(F.array(*[F.lit(b) for b in fv.BRANDS]), reachable)
-    scored = F.transform(candidates, lambda b, i: F.struct(
-        token_sort_similarity(raw, b).alias("score"), (-i).alias("rank"), b.alias("brand")))
-    best = F.array_max(F.filter(scored, lambda s: s["score"] >= fv.BRAND_FUZZY_CUTOFF))
-    return best["brand"]
+    def best(word: Column) -> Column:
+        chars = F.split(word, "")
+
+        def reachable(b: Column) -> Column:
+            shared = F.least(F.size(F.filter(chars, lambda c: b.contains(c))), F.length(b))
+            return 200.0 * shared >= fv.BRAND_FUZZY_CUTOFF * (F.length(word) + F.length(b))
+
+        scored = F.transform(
+            F.filter(F.array(*[F.struct(F.lit(-i).alias("rank"), F.lit(b).alias("brand"))
+                               for i, b in enumerate(fv.BRANDS)]), lambda s: reachable(s["brand"])),
+            lambda s: F.struct(token_sort_similarity(word, s["brand"]).alias("score"), s["rank"], s["brand"]))
+        return F.array_max(F.filter(scored, lambda s: s["score"] >= fv.BRAND_FUZZY_CUTOFF))["brand"]
+
+    return F.when(raw.isNotNull(), let(_words_in_order(raw), best))
 
 
 def normalize_brand(raw: Column) -> Column:
@@ -173,7 +183,7 @@ def normalize_brand(raw: Column) -> Column:
 
     The fuzzy branch runs only for rows the dictionary leaves over.
     """
-    return F.coalesce(known_brand(raw), closest_brand(raw), raw)
+    return let(raw, lambda r: F.coalesce(known_brand(r), closest_brand(r), r))
 
 
 # --- H34 optional fields ----------------------------------------------------

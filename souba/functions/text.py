@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -12,6 +13,11 @@ ANY_CASE = "(?iU)"   # case-insensitive, Unicode \w \b \s \d
 UNICODE = "(?U)"     # case-sensitive, Unicode classes
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value that the body uses more than once, so it is computed once per row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of Unicode white space, not only U+0020."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -131,8 +137,8 @@ def condition_from_title(title: Column) -> Column:
 # --- H24 -------------------------------------------------------------------
 def inches_between(text: Column, low: float = 10, high: float = 20) -> Column:
     """Text to inches when it is a plausible screen size."""
-    size = F.when(text.rlike(r"^\d+\.?\d*$"), text).try_cast("double")
-    return F.when(size.between(low, high), size)
+    size = F.regexp_extract(text, r"^(\d+\.?\d*)$", 1).try_cast("double")
+    return let(size, lambda s: F.when(s.between(low, high), s))
 
 
 def screen_size(title: Column) -> Column:
@@ -147,8 +153,9 @@ def screen_size(title: Column) -> Column:
 def json_ld_sku(blocks: Column) -> Column:
     """H25 sku of the first JSON-LD block that describes a product; '' when it has none."""
     is_product = lambda block: F.coalesce(F.get_json_object(block, "$.@type") == "Product", F.lit(False))
-    product = F.get(F.filter(blocks, is_product), 0)
-    return F.when(product.isNotNull(), F.coalesce(F.get_json_object(product, "$.sku"), F.lit("")))
+    first = F.get(F.filter(blocks, is_product), 0)
+    return let(first, lambda product: F.when(
+        product.isNotNull(), F.coalesce(F.get_json_object(product, "$.sku"), F.lit(""))))
 
 
 # --- H26 -------------------------------------------------------------------

@@ -30,7 +30,7 @@ class Layout:
     """How one shop's listing page is read.
 
     ``cards`` cuts a page into card strings, ``raw`` reads the pieces of a card
-    into named columns, ``fields`` builds the listing from those columns and
+    into named columns, ``specs`` parses some of those, ``fields`` builds the listing from those columns and
     ``keep`` says which listings have their mandatory parts.
     """
 
@@ -38,6 +38,7 @@ class Layout:
     default_query: str
     cards: Callable[[Column], Column]
     raw: Callable[[Column], dict[str, Column]]
+    specs: Callable[[], dict[str, Column]]
     fields: Callable[[], dict[str, Column]]
     keep: Callable[[], Column]
 
@@ -47,6 +48,7 @@ def extract_cards(pages: DataFrame, layout: Layout, scraped_at: Column | None =
     carried = [c for c in pages.columns if c != "html"]
     cards = pages.select(*carried, F.posexplode(layout.cards(F.col("html"))).alias("card_no", "_card"))
     raw = cards.select(*carried, "card_no", *[c.alias(n) for n, c in layout.raw(F.col("_card")).items()])
+    raw = raw.where(layout.keep()).select("*", *[c.alias(n) for n, c in layout.specs().items()])
     query = F.col("search_query") if "search_query" in carried else F.lit(None).cast("string")
     fields = layout.fields()
     stamped = {
@@ -57,28 +59,34 @@ def extract_cards(pages: DataFrame, layout: Layout, scraped_at: Column | None =
     fields.setdefault("is_active", F.lit(True))
     fields.update(stamped)
     carried = [c for c in carried if c not in fields]
-    return (
-        raw.where(layout.keep())
-        .select(*carried, "card_no", *[c.alias(n) for n, c in fields.items()])
-    )
+    return raw.select(*carried, "card_no", *[c.alias(n) for n, c in fields.items()])
+
+
+def _no_specs() -> dict[str, Column]:
+    return {}
 
 
 # --- P1 price-comparison table ------------------------------------------------
 def _comparison_raw(card: Column) -> dict[str, Column]:
     name_cell = H.inner(card, "td", "itemName")
-    cells = H.outer_all(card, "td", "colC")
-    spans_two = lambda cell: cell.rlike(r"(?is)^<td\b[^>]*\browspan\s*=\s*[\"']2[\"']")
     return {
         "_has_name": name_cell.isNotNull(),
         "_name": H.text_of(H.inner(name_cell, "strong")),
         "_href": H.attribute(H.first_tag(name_cell, "a"), "href"),
         "_price": H.text_of(H.inner(card, "td", "priceData")),
-        "_wide": F.transform(F.filter(cells, spans_two), H.text_of),
-        "_plain": F.transform(F.filter(cells, lambda c: ~spans_two(c)), H.text_of),
+        "_cells": H.outer_all(card, "td", "colC"),
         "_shop": H.text_of(H.inner(card, "td", "colShop")),
     }
 
 
+def _comparison_specs() -> dict[str, Column]:
+    spans_two = lambda cell: cell.rlike(r"(?is)^<td\b[^>]*\browspan\s*=\s*[\"']2[\"']")
+    return {
+        "_wide": F.transform(F.filter("_cells", spans_two), H.text_of),
+        "_plain": F.transform(F.filter("_cells", lambda c: ~spans_two(c)), H.text_of),
+    }
+
+
 def _comparison_fields() -> dict[str, Column]:
     base = "https://kakaku.com"
     plain = lambda i: F.coalesce(F.get(F.col("_plain"), i), F.lit(""))
@@ -115,7 +123,7 @@ def _recycle_code() -> Column:
 
 
 def _recycle_fields() -> dict[str, Column]:
-    specs = bracket_specs(F.col("_name"))
+    specs = F.col("_specs")
     return {
         "itemCode": _recycle_code(),
         "itemName": F.col("_name"),
@@ -131,7 +139,7 @@ def _recycle_fields() -> dict[str, Column]:
 # --- P3 card list with span texts ----------------------------------------------
 def _span_raw(card: Column) -> dict[str, Column]:
     spans = H.inner_all(card, "span", "subspec")
-    strong = F.flatten(F.transform(spans, lambda s: H.inner_all(s, "strong")))
+    strong = H.inner_all(F.array_join(spans, " "), "strong")
     priced = F.filter(F.transform(H.inner_all(card, "p"), H.raw_text_of), lambda p: p.contains("￥"))
     sold_out = rf"(?is)<img\b[^>]*\balt\s*=\s*[\"']{fv.SOLD_OUT}[\"']"
     return {
@@ -145,7 +153,7 @@ def _span_raw(card: Column) -> dict[str, Column]:
 
 
 def _span_fields() -> dict[str, Column]:
-    specs = label_specs(F.col("_texts"))
+    specs = F.col("_specs")
     href = F.col("_href")
     code = F.coalesce(url_number(href, "item/detail/"), href)
     named = first_non_blank(F.col("_brand"), F.col("_model")).isNotNull()
@@ -179,7 +187,7 @@ def _comment_raw(card: Column) -> dict[str, Column]:
 
 
 def _comment_fields() -> dict[str, Column]:
-    block, title = F.col("_block"), slash_specs(F.col("_title"))
+    block, title = F.col("_block"), F.col("_specs")
     href = F.coalesce(F.col("_href"), F.lit(""))
     merged = {n: first_non_blank(block[n], title[n]) for n in ("cpu", "memory", "ssd", "hdd", "os")}
     words = F.concat(F.coalesce(block["series"], F.lit("")), F.lit(" "), F.coalesce(block["model_number"], F.lit("")))
@@ -301,31 +309,31 @@ _clean = lambda html: H.without_scripts(H.without_comments(html))
 
 LAYOUTS = {
     "comparison_table": Layout(
-        "kakaku", "", lambda h: H.cards_by_tag(_clean(h), "tr"), _comparison_raw, _comparison_fields,
+        "kakaku", "", lambda h: H.cards_by_tag(_clean(h), "tr"), _comparison_raw, _comparison_specs, _comparison_fields,
         lambda: F.col("_has_name") & (F.col("_name") != "")),
     "recycle_list": Layout(
         "sofmap_used", "sofmap_used_notebooks", lambda h: H.cards_in_list(_clean(h), "sys-display-item"),
-        _recycle_raw, _recycle_fields, lambda: F.col("_href").isNotNull() & _recycle_code().isNotNull()),
+        _recycle_raw, lambda: {"_specs": bracket_specs(F.col("_name"))}, _recycle_fields, lambda: F.col("_href").isNotNull() & _recycle_code().isNotNull()),
     "span_list": Layout(
         "pcwrap", "pcwrap_notebooks", lambda h: H.cards_in_list(_clean(h), "list-item"),
-        _span_raw, _span_fields, lambda: F.col("_href").isNotNull()),
+        _span_raw, lambda: {"_specs": label_specs(F.col("_texts"))}, _span_fields, lambda: F.col("_href").isNotNull()),
     "comment_list": Layout(
         "qualit", "qualit_notebooks", lambda h: H.cards_in_list(H.without_scripts(h), "innerList"),
-        _comment_raw, _comment_fields, lambda: F.col("_title").isNotNull()),
+        _comment_raw, lambda: {"_specs": slash_specs(F.col("_title"))}, _comment_fields, lambda: F.col("_title").isNotNull()),
     "line_boxes": Layout(
         "pcbaru", "pcbaru_notebooks", lambda h: H.cards_by_tag(_clean(h), "div", "item_box"),
-        _line_raw, _line_fields, lambda: url_number(F.col("_href"), "detail.php?id=").isNotNull()),
+        _line_raw, _no_specs, _line_fields, lambda: url_number(F.col("_href"), "detail.php?id=").isNotNull()),
     "shop_boxes": Layout(
         "sofmap", "sofmap_notebooks", lambda h: H.cards_by_tag(_clean(h), "div", "mainbox"),
-        _box_raw, _box_fields,
+        _box_raw, _no_specs, _box_fields,
         lambda: F.col("_name").isNotNull() & F.col("_brand").isNotNull()
         & F.col("_href").isNotNull() & _box_price().isNotNull()),
     "clip_list": Layout(
-        "pckoubou", "", lambda h: H.cards_by_tag(_clean(h), "div", "info-area"), _clip_raw, _clip_fields,
+        "pckoubou", "", lambda h: H.cards_by_tag(_clean(h), "div", "info-area"), _clip_raw, _no_specs, _clip_fields,
         lambda: F.col("_name").isNotNull() & F.col("_clip").isNotNull()
         & parse_price(F.col("_price"), marks=",", strict=True).isNotNull()),
     "link_list": Layout(
-        "links", "", lambda h: H.cards_in_list(_clean(h)), _link_raw, _link_fields,
+        "links", "", lambda h: H.cards_in_list(_clean(h)), _link_raw, _no_specs, _link_fields,
         lambda: F.col("_href").isNotNull()),
 }
 
@@ -350,8 +358,7 @@ def extract_details(pages: DataFrame) -> DataFrame:
     value = lambda label: F.try_element_at(F.transform(
         F.filter(F.col("_pairs"), lambda p: p["label"] == label), lambda p: p["value"]), F.lit(-1))
     storage = value("ストレージ")
-    size = blank_to_null(F.concat(F.regexp_extract(storage, r"(?U)(\d+)\s*(GB|TB)", 1),
-                                  F.regexp_extract(storage, r"(?U)(\d+)\s*(GB|TB)", 2)))
+    size = F.regexp_replace(first_match(storage, r"\d+\s*(?:GB|TB)", 0), r"(?U)\s+", "")
     inches = strip(F.replace(value("ディスプレイ"), F.lit("インチ"), F.lit("")))
     return read.select(
         *carried, "sku",
