@@ -127,6 +127,12 @@ def deactivate_unseen(current: DataFrame, seen: DataFrame, sources: list[str]) -
     )
 
 
+def deactivate_stale(current: DataFrame, sources: list[str], run_start: Column) -> DataFrame:
+    """C5 for catalogues that runs stamp: last seen before the run means not seen by it. No join."""
+    stale = F.col("source").isin(sources) & (F.col("last_seen_at") < run_start)
+    return current.withColumn("is_active", F.when(stale, F.lit(False)).otherwise(F.col("is_active")))
+
+
 def new_by_url(catalogue: DataFrame, batch: DataFrame, order: list[str | Column], url: str = "item_url") -> DataFrame:
     """C6 rows of a batch whose URL is not in the catalogue; a repeated URL counts once."""
     return keep_first(batch, [url], order).join(catalogue.select(url), url, "left_anti")

@@ -78,33 +78,41 @@ def exact_split(df: DataFrame, ids: list[str], ratio: float = fv.TRAIN_RATIO,
                 seed: int = fv.RANDOM_SEED) -> DataFrame:
     """E4 / F6 mark exactly ``int(ratio * n)`` shuffled rows with ``is_train``.
 
-    The shuffled order is that of a hash of the ids. Rows are counted per hash
-    prefix (65,536 at most), the prefix at the cut is found from those counts,
-    and only rows of that one prefix are ranked; nothing is sorted as a whole.
-    ``ids`` must tell rows apart.
+    The shuffled order is that of a hash of the ids, so the split is a threshold
+    on the hash. Rows are counted per hash prefix to find the prefix the cut
+    falls into, once for four digits and once more inside that prefix for eight;
+    only rows that share all eight are ranked. Nothing is sorted as a whole and
+    the rows themselves do not move. ``ids`` must tell rows apart.
     """
     key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ids], F.lit(str(seed))))
-    keyed = df.withColumn("_key", key).withColumn("_slot", F.substring("_key", 1, 4))
-    # At most 65,536 rows from here to the join, whatever the data.
-    slots = keyed.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
+    keys = df.select(key.alias("_key"))
+    cut = _slot_of_cut(keys, 4, F.floor(F.sum("_n").over(Window.partitionBy()) * ratio))
+    inside = _rows_of_slot(keys, 4, cut)
+    cut = _slot_of_cut(inside, 8, F.max("_room").over(Window.partitionBy()))
+    inside = _rows_of_slot(inside.drop("_room"), 8, cut)
+    rank = F.row_number().over(Window.partitionBy(F.substring("_key", 1, 8)).orderBy("_key"))
+    threshold = inside.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_room")).agg(F.max("_key"))
+    return df.withColumn("is_train", F.coalesce(key <= threshold.scalar(), F.lit(False)))
+
+
+def _slot_of_cut(keys: DataFrame, digits: int, cut: Column) -> DataFrame:
+    """The hash prefix the cut falls into and the number of its rows before the cut; one row.
+
+    The windows see one row per prefix of four more digits: 65,536 at most.
+    """
+    counts = [F.count(F.lit(1)).alias("_n")] + ([F.max("_room").alias("_room")] if "_room" in keys.columns else [])
+    slots = keys.groupBy(F.substring("_key", 1, digits).alias("_slot")).agg(*counts)
     upto = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    slots = (
-        slots.withColumn("_upto", F.sum("_n").over(upto))
-        .withColumn("_cut", F.floor(F.sum("_n").over(everything) * ratio))
-        .select("_slot", (F.col("_cut") - F.col("_upto") + F.col("_n")).alias("_room"), "_n")
-    )
-    # Whole slots are decided by their counts; the rank matters in one slot only.
-    joined = keyed.join(slots, "_slot")
-    at_cut = (F.col("_room") > 0) & (F.col("_room") < F.col("_n"))
-    ranked = (
-        keyed.select(*ids, "_key", "_slot").join(slots.where(at_cut), "_slot")
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("_slot").orderBy("_key", *ids)))
-        .where(F.col("_rank") <= F.col("_room")).select(*ids, F.lit(True).alias("_in"))
+    return (
+        slots.withColumns({"_upto": F.sum("_n").over(upto), "_cut": cut})
+        .where((F.col("_upto") >= F.col("_cut")) & (F.col("_upto") - F.col("_n") < F.col("_cut")))
+        .select("_slot", (F.col("_cut") - F.col("_upto") + F.col("_n")).alias("_room"))
     )
-    joined = joined.join(ranked, ids, "left")
-    is_train = F.when(at_cut, F.coalesce("_in", F.lit(False))).otherwise(F.col("_room") >= F.col("_n"))
-    return joined.withColumn("is_train", is_train).select(*df.columns, "is_train")
+
+
+def _rows_of_slot(keys: DataFrame, digits: int, slot: DataFrame) -> DataFrame:
+    """Keys with the prefix of a one-row table, and its room."""
+    return keys.withColumn("_slot", F.substring("_key", 1, digits)).join(F.broadcast(slot), "_slot").drop("_slot")
 
 
 def split_by_product(df: DataFrame, product: str = "id", ratio: float = fv.TRAIN_RATIO,

@@ -20,38 +20,46 @@ class NoiseRules:
     computer_genres: list[str] = field(default_factory=lambda: list(fv.COMPUTER_GENRES))
 
 
-def _signals(rules: NoiseRules, name: Column, genre: Column) -> dict[str, Column]:
+def _rules_as_columns(rules: NoiseRules, name: Column, genre: Column) -> tuple[Column, Column]:
+    """Does the title name an accessory, and the verdict on the listing.
+
+    Each word list is searched at most once per title; the computer words only
+    where an accessory word was found. A listing without title gets no verdict.
+    """
     genre = strip(F.coalesce(genre.cast("string"), F.lit("0")))
-    noise_genre = genre.isin(rules.noise_genres)
-    computer_genre = genre.isin(rules.computer_genres)
-    unknown = ~noise_genre & ~computer_genre
-    noise = name.rlike("(?iu)(?:" + literal_pattern(rules.noise_keywords) + ")")
+    accessory = name.rlike("(?iu)(?:" + literal_pattern(rules.noise_keywords) + ")")
     computer = name.rlike("(?iu)(?:" + literal_pattern(rules.computer_keywords) + ")")
-    return {
-        "noise_genre": noise_genre,
-        "mislabelled": computer_genre & noise,
-        "uncertain": unknown & noise & computer,
-        "clean": ~noise_genre & ~noise,
-    }
+    verdict = (
+        F.when(genre.isin(rules.noise_genres), "noise_genre")
+        .when(name.isNull(), F.lit(None).cast("string"))
+        .when(~accessory, "clean")
+        .when(genre.isin(rules.computer_genres), "mislabelled")
+        .when(computer, "uncertain")
+        .otherwise("accessory")
+    )
+    return accessory, verdict
 
 
 def filter_computers(df: DataFrame, rules: NoiseRules | None = None,
                      name: str = "itemName", genre: str = "genreId") -> DataFrame:
     """B7 drop accessories; listings with mixed signals stay, marked ``is_uncertain``.
 
-    One narrow filter, no shuffle. Only the title is searched.
+    One narrow filter, no shuffle. Only the title is searched. What is kept
+    and names an accessory is exactly what is uncertain.
     """
-    s = _signals(rules or NoiseRules(), F.col(name), F.col(genre))
-    return df.where(s["clean"] | s["uncertain"]).withColumn("is_uncertain", s["uncertain"])
+    accessory, verdict = _rules_as_columns(rules or NoiseRules(), F.col(name), F.col(genre))
+    return df.where(verdict.isin("clean", "uncertain")).withColumn("is_uncertain", accessory)
 
 
 def filter_report(df: DataFrame, rules: NoiseRules | None = None,
                   name: str = "itemName", genre: str = "genreId", by: list[str] | None = None) -> DataFrame:
     """D15 what the filter does to a table, in one aggregation."""
-    s = _signals(rules or NoiseRules(), F.col(name), F.col(genre))
-    return df.groupBy(*(by or [])).agg(
+    _, verdict = _rules_as_columns(rules or NoiseRules(), F.col(name), F.col(genre))
+    judged = df.select(*(by or []), verdict.alias("_verdict"))
+    times = lambda kind: F.count_if(F.col("_verdict") == kind)
+    return judged.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(s["noise_genre"]).alias("noise_genre_rejected"),
-        F.count_if(s["mislabelled"]).alias("keyword_rejected"),
-        F.count_if(s["uncertain"]).alias("uncertain_kept"),
-        F.count_if(s["clean"]).alias("clean_kept"))
+        times("noise_genre").alias("noise_genre_rejected"),
+        times("mislabelled").alias("keyword_rejected"),
+        times("uncertain").alias("uncertain_kept"),
+        times("clean").alias("clean_kept"))

@@ -9,6 +9,7 @@ from souba.functions import specs, text, titles
 from souba.operators import extraction, noise
 from souba.plans.registry import query
 from souba.plans.views import table
+from souba.session import spread
 
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _HALF = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
@@ -24,7 +25,7 @@ def fw2hw(spark, sf_dir):
     """H1 whole documents to full width and back."""
     full = text.to_full_width(F.col("text"))
     return (
-        table(spark, sf_dir, "documents").select("doc_id", full.alias("full"))
+        spread(table(spark, sf_dir, "documents")).select("doc_id", full.alias("full"))
         .select("doc_id", F.md5("full").alias("full_md5"),
                 F.md5(text.to_half_width(F.col("full"))).alias("half_md5"),
                 F.length(text.to_half_width(F.col("full"))).cast("bigint").alias("n"))
@@ -86,7 +87,7 @@ OPTIONAL_TRUTH = {
 
 def listing_texts(spark, sf_dir):
     """One listing per part; every third text is written in full width."""
-    part = table(spark, sf_dir, "part").selectExpr(
+    part = spread(table(spark, sf_dir, "part")).selectExpr(
         "p_partkey", "p_size", "p_name", f"{LISTING_TEXT} AS combined",
         "'P' || CAST(p_partkey AS STRING) AS itemCode", "p_name AS itemName",
         "CAST(floor(p_retailprice) AS BIGINT) AS itemPrice", "'100040' AS genreId", "p_brand AS shopName",
@@ -135,7 +136,7 @@ FROM documents""")
 def extract_specs_documents(spark, sf_dir):
     """H6 H9 H10 single extractors over whole free-text documents."""
     body = text.to_half_width(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", specs.bluetooth(body).alias("bluetooth"),
         text.first_match(body, fv.GENERATION_ENGLISH, flags=text.ANY_CASE).alias("gen_english"),
         text.first_match(body, fv.DISPLAY[2], flags=text.ANY_CASE).alias("inches"))
@@ -150,7 +151,7 @@ _KNOWN_BRANDS = ["Lenovo", "Dell", "HP", "Fujitsu", "Panasonic", "Lenovo", "Pana
 SELECT p_partkey, {_words('p_size', *_RAW_BRANDS)} AS raw, {_words('p_size', *_KNOWN_BRANDS)} AS brand FROM part""")
 def normalize_brand(spark, sf_dir):
     """H11 exact and fuzzy"""
-    raw = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_words('p_size', *_RAW_BRANDS)} AS raw")
+    raw = spread(table(spark, sf_dir, "part")).selectExpr("p_partkey", f"{_words('p_size', *_RAW_BRANDS)} AS raw")
     return raw.withColumn("brand", specs.normalize_brand(F.col("raw")))
 
 
@@ -364,4 +365,4 @@ SELECT lang, count(*) AS total, count(*) FILTER (WHERE source = 'src1') AS noise
 FROM documents GROUP BY lang""")
 def noise_filter_documents_stats(spark, sf_dir):
     """D15 per language"""
-    return noise.filter_report(table(spark, sf_dir, "documents"), _DOC_RULES, name="text", genre="source", by=["lang"])
+    return noise.filter_report(spread(table(spark, sf_dir, "documents")), _DOC_RULES, name="text", genre="source", by=["lang"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +48,19 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", named)
     spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small file over all cores, for work that is heavy per row.
+
+    A scan that already has a task per core is returned as it is, which is
+    always so for large tables. Only for plain scans: asking for the number of
+    splits must not run anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores and len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
+def wide_enough(spark: SparkSession) -> int:
+    """Partitions for a shuffle ahead of work that is heavy per row."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -22,8 +22,6 @@ from souba.functions.text import (
 )
 from souba.functions.titles import block_specs, bracket_specs, label_specs, slash_specs
 
-NO_TEXT = F.lit(None).cast("string")
-
 
 @dataclass(frozen=True)
 class Layout:
@@ -270,7 +268,7 @@ def _box_fields() -> dict[str, Column]:
         "itemName": strip(F.concat_ws(" ", F.col("_name"), F.col("_brand"))),
         "itemPrice": _box_price(),
         "itemUrl": F.when(href.startswith("http"), href).otherwise(F.concat(F.lit("https://www.sofmap.com"), href)),
-        "shopName": NO_TEXT,
+        "shopName": F.lit(None).cast("string"),
     }
 
 
@@ -289,7 +287,7 @@ def _clip_fields() -> dict[str, Column]:
         "itemCode": F.col("_clip"),
         "itemName": F.col("_name"),
         "itemPrice": parse_price(F.col("_price"), marks=",", strict=True),
-        "shopName": NO_TEXT,
+        "shopName": F.lit(None).cast("string"),
     }
 
 
