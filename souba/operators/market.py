@@ -116,7 +116,7 @@ def price_histogram(df: DataFrame, by: list[str], price: str = "price",
     for k in by:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     step = F.floor(F.try_divide(F.col(price).cast("double") - F.col("_min"), F.col("_width")))
-    number = F.coalesce(F.least(step, F.col("bins") - 1), F.lit(0)).cast("int")
+    number = F.least(F.coalesce(step, F.lit(0)), F.col("bins") - 1).cast("int")
     # Integer counts per (group, price) first: the join then sees each price once.
     counts = df.where(F.col(price).isNotNull()).groupBy(*by, price).agg(F.count(F.lit(1)).alias("_c"))
     return (

@@ -143,7 +143,7 @@ g AS (SELECT display_name, min(price) AS lo, least(40, greatest(10, count(*) //
              (max(price) - min(price)) / least(40, greatest(10, count(*) // 4)) AS width
       FROM f GROUP BY display_name HAVING count(*) >= 5),
 b AS (SELECT display_name, lo, width,
-             CAST(coalesce(least(floor((price - lo) / nullif(width, 0)), bins - 1), 0) AS BIGINT) AS bin
+             CAST(least(coalesce(floor((price - lo) / nullif(width, 0)), 0), bins - 1) AS BIGINT) AS bin
       FROM f JOIN g USING (display_name))
 SELECT display_name, bin, round(lo + bin * width, 4) AS low, round(lo + (bin + 1) * width, 4) AS high, count(*) AS n
 FROM b GROUP BY display_name, bin, lo, width""")
