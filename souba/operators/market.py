@@ -7,6 +7,8 @@ of all observations is spread over the cluster like everything else.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from souba import fixed_values as fv
@@ -19,6 +21,13 @@ QUARTILES_LINEAR = {**MEDIAN, "p25": (0.25, "linear"), "p75": (0.75, "linear")}
 QUARTILES_NEAREST = {**MEDIAN, "p25": (0.25, "nearest"), "p75": (0.75, "nearest")}
 
 
+def _with_group(df: DataFrame, groups: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join rows with one row per group; a null key is a group like any other."""
+    renamed = groups.withColumnsRenamed({k: f"_k_{k}" for k in by})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by])
+    return df.join(renamed, same, how).drop(*[f"_k_{k}" for k in by])
+
+
 def with_day(df: DataFrame, timestamp: str = "scraped_at", day: str = "day") -> DataFrame:
     """H33 UTC day of an observation."""
     return df.withColumn(day, F.to_date(timestamp))
@@ -37,11 +46,7 @@ def price_change(df: DataFrame, by: list[str], price: str = "price", timestamp:
     either side the change is null and the current median is that of all prices.
     """
     newest = df.groupBy(*by).agg((F.max(timestamp) - F.expr(f"INTERVAL {days} DAYS")).alias("_cutoff"))
-    newest = newest.withColumnsRenamed({k: f"_k_{k}" for k in by})
-    same = F.lit(True)
-    for k in by:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    marked = df.join(newest, same).select(
+    marked = _with_group(df, newest, by).select(
         *by, price, F.when(F.col(timestamp) >= F.col("_cutoff"), "recent").otherwise("prior").alias("_period"))
     halves = grouped_summary(marked, [*by, "_period"], price, MEDIAN, ("count",))
     of = lambda period, column: F.max(F.when(F.col("_period") == period, F.col(column)))
@@ -86,14 +91,14 @@ def spec_breakdown(df: DataFrame, by: list[str], specs: list[str] | None = None,
     long = df.select(*by, price, F.explode(F.array(*[
         F.struct(F.lit(s).alias("spec"), F.col(s).cast("string").alias("value")) for s in specs])).alias("_s"))
     long = long.select(*by, price, "_s.spec", "_s.value").where("value IS NOT NULL")
-    # Values that only come without a price still count towards the two.
-    kinds = (
-        long.groupBy(*by, "spec", "value").agg(F.count(price).alias("_n"))
-        .withColumn("_kinds", F.count(F.lit(1)).over(Window.partitionBy(*by, "spec")))
-        .where("_kinds >= 2 AND _n > 0").drop("_kinds", "_n")
+    # Two values or more: the least and the greatest differ. Values that only
+    # come without a price count as well.
+    shown = (
+        long.groupBy(*by, "spec").agg(F.min("value").alias("_least"), F.max("value").alias("_greatest"))
+        .where(F.col("_least") != F.col("_greatest")).select(*by, "spec")
     )
     per_value = grouped_summary(long, [*by, "spec", "value"], price, MEDIAN, ("count",))
-    return per_value.join(kinds, [*by, "spec", "value"], "left_semi")
+    return _with_group(per_value, shown, [*by, "spec"], "left_semi")
 
 
 def _histogram_groups(df: DataFrame, by: list[str], price: str, most: int, least: int, per_bin: int) -> DataFrame:
@@ -111,16 +116,12 @@ def price_histogram(df: DataFrame, by: list[str], price: str = "price",
                     most: int = 40, least: int = 10, per_bin: int = 4) -> DataFrame:
     """D11 equal-width histogram per group; more prices give more bins, within limits."""
     groups = _histogram_groups(df, by, price, most, least, per_bin)
-    groups = groups.withColumnsRenamed({k: f"_k_{k}" for k in by})
-    same = F.lit(True)
-    for k in by:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     step = F.floor(F.try_divide(F.col(price).cast("double") - F.col("_min"), F.col("_width")))
     number = F.least(F.coalesce(step, F.lit(0)), F.col("bins") - 1).cast("int")
     # Integer counts per (group, price) first: the join then sees each price once.
     counts = df.where(F.col(price).isNotNull()).groupBy(*by, price).agg(F.count(F.lit(1)).alias("_c"))
     return (
-        counts.join(groups, same)
+        _with_group(counts, groups, by)
         .groupBy(*by, number.alias("bin"), "_min", "_width")
         .agg(F.sum("_c").alias("n"))
         .select(*by, "bin", (F.col("_min") + F.col("bin") * F.col("_width")).alias("low"),
@@ -180,15 +181,8 @@ def against_median(df: DataFrame, by: list[str], price: str = "price") -> DataFr
     The medians are one row per group; a hot group is split on the listing side.
     """
     medians = grouped_summary(df, by, price, MEDIAN)
-    renamed = medians.withColumnsRenamed({k: f"_k_{k}" for k in by})
-    same = F.lit(True)
-    for k in by:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     pct = (F.col(price) - F.col("median")) / F.nullif(F.col("median"), F.lit(0.0)) * 100
-    return (
-        df.join(renamed, same).drop(*[f"_k_{k}" for k in by])
-        .withColumn("vs_median_pct", F.bround(pct, 1))
-    )
+    return _with_group(df, medians, by).withColumn("vs_median_pct", F.bround(pct, 1))
 
 
 def latest_price(df: DataFrame, keys: list[str], order: list[Column], price: str = "price") -> DataFrame:

@@ -9,6 +9,8 @@ a wanted rank, and only the values of those cells are looked at again.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CELLS_PER_DOUBLING = 64
@@ -87,8 +89,8 @@ def grouped_summary(
         )
 
     ranks = {name: _rank(q, how) for name, (q, how) in quantiles.items()}
-    wanted = F.array_distinct(F.array(*[r for low, high, _ in ranks.values() for r in (low, high)]))
-    in_cell = F.exists(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_cn")))
+    holds = lambda rank: (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_cn"))
+    in_cell = reduce(lambda a, b: a | b, [holds(r) for low, high, _ in ranks.values() for r in (low, high)])
     carried = ["_before", "_total"] + (["_mean", "_m2", "_min", "_max"] if moments else [])
     targets = cells.where(in_cell).select(
         *[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_cell").alias("_t_cell"), *carried)
