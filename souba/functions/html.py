@@ -46,12 +46,29 @@ def cards_by_tag(html: Column, tag: str, css_class: str | None = None) -> Column
 
 
 def cards_in_list(html: Column, list_class: str | None = None, container: str = "ul") -> Column:
-    """``li`` cards of the lists that carry a class."""
-    lists = F.regexp_extract_all(html, F.lit(f"{_DOT_ALL}{opening(container, list_class)}(.*?)</{container}\\s*>"), F.lit(1))
+    """``li`` cards of the lists that carry a class; lists inside a card do not end it."""
+    lists = F.transform(cards_by_tag(html, container, list_class), lambda piece: _balanced(piece, container))
     items = F.flatten(F.transform(lists, lambda one: cards_by_tag(one, "li")))
     return F.transform(items, lambda item: F.regexp_replace(item, r"(?is)</li\s*>.*$", ""))
 
 
+def _balanced(piece: Column, tag: str) -> Column:
+    """A text that starts with an opening tag, up to the closing tag that belongs to it."""
+    step = lambda part: (
+        F.when(part.rlike(f"(?i)^<{tag}\\b"), 1).when(part.rlike(f"(?i)^</{tag}\\b"), -1).otherwise(0))
+
+    def add(acc: Column, part: Column) -> Column:
+        depth = acc["depth"] + step(part)
+        over = acc["closed"] | (depth <= 0)
+        return F.struct(
+            depth.alias("depth"), over.alias("closed"),
+            F.when(over, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(part))).alias("kept"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("closed"), F.array().cast("array<string>").alias("kept"))
+    parts = F.split(piece, f"(?i)(?=</?{tag}\\b)")
+    return F.array_join(F.aggregate(F.filter(parts, lambda p: p != ""), start, add)["kept"], "")
+
+
 def inner(fragment: Column, tag: str, css_class: str | None = None) -> Column:
     """Inner HTML of the first such element; null when there is none."""
     whole = blank_to_null(F.regexp_extract(fragment, f"{_DOT_ALL}{opening(tag, css_class)}.*?</{tag}\\s*>", 0))

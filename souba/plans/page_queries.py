@@ -99,7 +99,8 @@ def html_links(spark, sf_dir):
 
 
 @query("html_titles", r"""
-SELECT page_id, trim(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&')) AS title,
+SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1),
+         '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title,
        CAST(len(regexp_extract_all(html, '(?s)<!--(.*?)-->')) AS BIGINT) AS comments
 FROM pages""")
 def html_titles(spark, sf_dir):
