@@ -55,7 +55,6 @@ class RunReport:
     run_id: str
     sources: list[str] = field(default_factory=list)
     failed: dict[str, str] = field(default_factory=dict)
-    snapshot: str | None = None
 
 
 def nightly_run(spark: SparkSession, listings: dict[str, DataFrame], catalogue_path: str, history_path: str,
@@ -63,7 +62,8 @@ def nightly_run(spark: SparkSession, listings: dict[str, DataFrame], catalogue_p
     """Listings of each source into catalogue and history.
 
     A source that fails is reported and left as it was; the others go on. All
-    queries of a source are one set, so no query retires what another saw.
+    queries of a source are one set, so no query retires what another saw. Only
+    the catalogue partitions of the run's sources are read and rewritten.
     """
     report = RunReport(uuid.uuid4().hex)
     run = f"{shared_dir(spark)}/runs/{report.run_id}"
@@ -80,15 +80,15 @@ def nightly_run(spark: SparkSession, listings: dict[str, DataFrame], catalogue_p
     landed = catalog.union_sources(*[spark.read.parquet(f"{run}/{s}") for s in report.sources])
 
     known = sinks.Snapshots(spark, catalogue_path)
-    current = known.read(CATALOGUE)
+    current = known.read(CATALOGUE, report.sources)
     one_each = catalog.keep_first(landed.where(F.col("item_code").isNotNull()), PRODUCT_KEY,
                                   ["search_query", "item_url", "item_name"])
     batch = one_each.select(*[c for c in PRODUCTS.fieldNames() if c in one_each.columns])
     merged = catalog.upsert_products(current, batch)
     merged = catalog.deactivate_unseen(with_product_id(merged), batch, report.sources)
-    report.snapshot = known.write(merged.select(CATALOGUE.fieldNames()))
+    known.write(merged.select(CATALOGUE.fieldNames()))
 
-    products = spark.read.schema(CATALOGUE).parquet(report.snapshot)
+    products = known.read(CATALOGUE, report.sources)
     observed = catalog.price_observations(landed.withColumn("scraped_at", stamp), products)
     sinks.append_history(observed, history_path)
     return report
@@ -126,5 +126,6 @@ def backfill_job(spark: SparkSession, catalogue_path: str) -> DataFrame:
     """T2 D22 rewrite the catalogue with models read from titles; report the matches."""
     known = sinks.Snapshots(spark, catalogue_path)
     products = known.read(CATALOGUE)
+    report = extraction.backfill_report(products)
     known.write(extraction.backfill_models(products))
-    return extraction.backfill_report(products)
+    return report

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -53,41 +54,53 @@ def append_predictions(scored: DataFrame, path: str) -> None:
 
 
 class Snapshots:
-    """A6 a table kept as whole snapshots, the newest named by the newest folder.
+    """A6 a catalogue kept as immutable snapshots, each covering the sources of one run.
 
-    A new snapshot is written beside the one that is read and becomes visible
-    only when complete, so a lost job leaves the old one in place and no plan
-    reads and overwrites the same files.
+    A snapshot is written beside those that are read and becomes visible only
+    when complete, so a lost job leaves the table as it was and no plan reads and
+    overwrites the same files. A source is read from its newest snapshot; a run
+    rewrites the sources it covers and leaves the others' files alone.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _folders(self) -> list[str]:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
+    def _children(self, path: str) -> list[str]:
+        if not self._fs.exists(self._hadoop(path)):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(hadoop) if s.isDirectory()]
-        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return sorted(n for n in names if fs.exists(done(f"{self.path}/{n}/_SUCCESS")))
-
-    def newest(self) -> str | None:
-        folders = self._folders()
-        return f"{self.path}/{folders[-1]}" if folders else None
-
-    def read(self, schema) -> DataFrame:
-        newest = self.newest()
-        if newest is None:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._hadoop(path)) if s.isDirectory())
+
+    def _complete(self) -> list[str]:
+        return [n for n in self._children(self.path) if self._fs.exists(self._hadoop(f"{self.path}/{n}/_SUCCESS"))]
+
+    def newest(self) -> dict[str, str]:
+        """Partition folder of the newest snapshot of each source."""
+        folders: dict[str, str] = {}
+        for snapshot in self._complete():
+            for partition in self._children(f"{self.path}/{snapshot}"):
+                if partition.startswith("source="):
+                    folders[partition] = f"{self.path}/{snapshot}/{partition}"
+        return folders
+
+    def read(self, schema, sources: list[str] | None = None) -> DataFrame:
+        """The whole table, or some of its sources."""
+        folders = self.newest()
+        if sources is not None:
+            folders = {k: v for k, v in folders.items() if unquote(k[len("source="):]) in sources}
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(newest)
-
-    def write(self, df: DataFrame, partition_by: str | None = "source") -> str:
-        number = len(self._folders()) + 1
-        target = f"{self.path}/snapshot-{number:08d}-{uuid.uuid4().hex[:8]}"
-        writer = df.write.mode("errorifexists").option("compression", "snappy")
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(target)
-        return target
+        table = self.spark.read.schema(schema).option("basePath", self.path).parquet(*sorted(folders.values()))
+        return table.select(schema.fieldNames())
+
+    def write(self, df: DataFrame) -> None:
+        """A new snapshot of the sources ``df`` holds; it must hold each of them whole."""
+        last = self._complete()[-1:]
+        number = int(last[0].split("=")[1].split("-")[0]) + 1 if last else 1
+        target = f"{self.path}/snapshot={number:08d}-{uuid.uuid4().hex[:8]}"
+        (
+            df.hint("rebalance", "source").write.mode("errorifexists")
+            .option("compression", "snappy").partitionBy("source").parquet(target)
+        )

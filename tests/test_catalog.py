@@ -110,15 +110,18 @@ def test_sinks(spark, rows, tmp_path, kind):
     assert rows(sinks.json_records(df.limit(1)))[0]["record"].endswith('"memo":null}')
 
 
-def test_snapshots_show_only_finished_writes(spark, tmp_path):
+def test_snapshots_show_only_finished_writes(spark, rows, tmp_path):
     table = sinks.Snapshots(spark, str(tmp_path / "t"))
-    df = spark.createDataFrame([("a", "1")], "source string, item_code string")
+    df = spark.createDataFrame([("1", "a"), ("2", "b c")], "item_code string, source string")
     assert table.read(df.schema).count() == 0
     table.write(df)
-    (tmp_path / "t" / "snapshot-00000099-broken").mkdir()
-    assert table.read(df.schema).count() == 1
-    table.write(table.read(df.schema).union(spark.createDataFrame([("b", "2")], df.schema)))
+    (tmp_path / "t" / "snapshot=00000099-broken" / "source=a").mkdir(parents=True)
     assert table.read(df.schema).count() == 2
+    one = table.read(df.schema, ["a"])
+    table.write(one.union(spark.createDataFrame([("3", "a")], df.schema)))
+    assert sorted((r["source"], r["item_code"]) for r in rows(table.read(df.schema))) == [("a", "1"), ("a", "3"), ("b c", "2")]
+    assert [r["item_code"] for r in rows(table.read(df.schema, ["b c"]))] == ["2"]
+    assert len(table.newest()) == 2
 
 
 def _listings(spark, codes, source_price=1000, brand="Lenovo"):

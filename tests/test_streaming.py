@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from souba.sources import sinks
 from souba.streaming import jobs as streams
 
 
+RUN = uuid.uuid4().hex   # checkpoints outlive a test run; each run is a stream of its own
+
+
 def _page(codes, price):
     items = [{"Item": {"itemName": "Lenovo ThinkPad L580", "itemCaption": " メモリ 8GB SSD 256GB", "itemPrice": price, "itemCode": c, "genreId": "100040",
                        "itemUrl": f"https://s/{c}", "shopName": "s"}} for c in codes]
@@ -32,9 +36,9 @@ def test_landed_pages_into_catalogue(spark, rows, tmp_path):
         assert not report.failed
 
     (landing / "1.json").write_text(_page(["a", "b"], 100) + "\n" + '{"error": "x"}\n', encoding="utf-8")
-    streams.run_batches(streams.landed_pages(spark, str(landing)), write, "ingest-test").awaitTermination()
+    streams.run_batches(streams.landed_pages(spark, str(landing)), write, f"ingest-{RUN}").awaitTermination()
     (landing / "2.json").write_text(_page(["b", "c"], 200), encoding="utf-8")
-    streams.run_batches(streams.landed_pages(spark, str(landing)), write, "ingest-test").awaitTermination()
+    streams.run_batches(streams.landed_pages(spark, str(landing)), write, f"ingest-{RUN}").awaitTermination()
 
     products = {r["item_code"]: r for r in rows(sinks.Snapshots(spark, catalogue).read(jobs.CATALOGUE))}
     assert {c: p["is_active"] for c, p in products.items()} == {"a": False, "b": True, "c": True}
@@ -50,7 +54,7 @@ def test_duplicates_within_watermark(spark, rows, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
     stream = streams.first_observations(streams.landed_table(spark, str(tmp_path / "in"), df.schema))
-    streams.run_batches(stream, lambda batch, _: batch.write.mode("append").parquet(out), "dedupe-test").awaitTermination()
+    streams.run_batches(stream, lambda batch, _: batch.write.mode("append").parquet(out), f"dedupe-{RUN}").awaitTermination()
     assert sorted((r["source"], r["item_code"]) for r in rows(spark.read.parquet(out))) == [("s", "1"), ("s", "2"), ("t", "1")]
 
 
