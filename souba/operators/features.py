@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -51,11 +51,17 @@ def model_features(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 # --- encoding -----------------------------------------------------------------
 def encoder_stages() -> list:
-    """M2 / M3 labels to codes in code-point order, unseen labels to one extra code; then the vector."""
+    """M2 / M3 labels to codes in code-point order, unseen labels to one extra code; then the vector.
+
+    The codes enter the vector as plain numbers: adding zero drops the mark of a
+    categorical feature, which would tie the number of labels to the trees' bins.
+    """
     index = StringIndexer(inputCols=CATEGORICAL, outputCols=[f"{c}_code" for c in CATEGORICAL],
                           stringOrderType="alphabetAsc", handleInvalid="keep")
-    columns = [f"{c}_code" if c in CATEGORICAL else c for c in FEATURES]
-    return [index, VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")]
+    numbers = ", ".join(f"{c}_code + 0.0D AS {c}_number" for c in CATEGORICAL)
+    plain = SQLTransformer(statement=f"SELECT *, {numbers} FROM __THIS__")
+    columns = [f"{c}_number" if c in CATEGORICAL else c for c in FEATURES]
+    return [index, plain, VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")]
 
 
 def encode(train: DataFrame, df: DataFrame) -> DataFrame:

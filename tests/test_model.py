@@ -83,6 +83,12 @@ def test_fit_save_load_and_score(spark, rows, products, tmp_path):
     assert features.score_active(loaded, products.where("false")).count() == 0
 
 
+def test_more_labels_than_bins(products):
+    many = products.withColumn("brand", F.concat(F.lit("b"), F.col("id")))
+    model = features.fit_price_model(many, max_iter=2, maxDepth=2)
+    assert features.predict(model, many, keep=["id"]).where("predicted_price IS NULL").count() == 0
+
+
 def test_load_refuses_other_pipelines(products, tmp_path):
     path = str(tmp_path / "other")
     Pipeline(stages=features.encoder_stages()).fit(features.model_features(products)).write().save(path)
