@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from souba import fixed_values as fv
 from souba.functions.text import change_class, change_label
-from souba.operators.catalog import keep_first
 from souba.operators.summary import MOMENTS, grouped_summary
 
 MEDIAN = {"median": (0.5, "linear")}

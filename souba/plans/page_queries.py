@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from souba.functions import html as H
 from souba.plans.registry import query
-from souba.plans.text_queries import _DISK, _INCH, _RAM, _pick, _words
+from souba.plans.text_queries import _DISK, _INCH, _RAM, _words
 from souba.plans.views import table
 from souba.operators import catalog
 from souba.session import spread, wide_enough
