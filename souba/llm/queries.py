@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souba.llm import chat, decontaminate, fingerprints, mixing, sharding, warc
+from souba.llm import chat, decontaminate, fingerprints, mixing, quality, sharding, toxicity, warc
 from souba.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +17,7 @@ SHARD_BYTES = 1 << 20
 def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Every text's Merkle fingerprint beside that of its edited text and of the next document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return fingerprints.with_edits(docs).drop("text")
+    return fingerprints.with_edits(docs)
 
 
 def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +32,16 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(docs, SHARD_BYTES).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")).drop("text")
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity by a subsequence-kernel machine that never saw the held-out fifth of the labels."""
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    machine = toxicity.train(docs, labels.filter(~held_out).select("doc_id", "toxic"))
+    scored = toxicity.score_toxicity(docs, machine)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"),
+                         F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations as records of several layouts, mapped to turns, formatted, and read back from the training text."""
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -62,7 +72,15 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_warc, op3_sharding, op5_chat, op6_mixing, op7_decontaminate)}
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's expected grade, the probability that it is above the lowest grade, and whether it is kept."""
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    model = quality.train(docs, quality.graded_labels(labels), 3)
+    return quality.grade(docs, model).drop("text").withColumn("keep", F.col("tail_probability") >= 0.5)
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_warc, op3_sharding, op4_toxicity, op5_chat, op6_mixing, op7_decontaminate,
+                                                     op10_quality)}
 
 _HASH = "('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT"
 
