@@ -83,38 +83,47 @@ def differing_branches(one: Column, other: Column) -> Column:
     return F.when(root(one) == root(other), F.expr("array()").cast("array<struct<section:int,paragraph:int>>")).otherwise(found)
 
 
-def next_ids(ids: DataFrame, key: str) -> DataFrame:
-    """Each distinct id (``key``) with the next lower one (``next``), the lowest with the highest; null is the lowest.
+def ids_before(ids: DataFrame, key: str, size: str) -> DataFrame:
+    """Each distinct id (``key``) with the next higher one and its size (``before``, ``before_size``; the largest
+    where an id repeats); before the highest stands the lowest. Null is the lowest of all.
 
-    The ids alone are range-partitioned and written; windows run over each range, then over one row per range.
+    Ids and sizes alone are range-partitioned and written; windows run over each range, then over one row per range.
     """
-    ranged = ids.select(F.col(key).alias("key")).distinct().repartitionByRange(F.col("key").desc_nulls_last())
-    ranged = written(ranged.withColumn("part", F.spark_partition_id()), "idranges")
-    heads = ranged.groupBy("part").agg(F.max_by(F.struct("key"), F.struct(F.col("key").isNotNull(), "key")).alias("head"))
+    sized = ids.groupBy(F.col(key).alias("key")).agg(F.max(size).alias("size"))
+    ranged = sized.repartitionByRange(F.col("key").desc_nulls_last()).withColumn("part", F.spark_partition_id())
+    ranged = written(ranged, "idranges")
+    pair = F.struct("key", "size")
+    tails = ranged.groupBy("part").agg(F.min_by(pair, F.struct(F.col("key").isNotNull(), "key")).alias("tail"))
     order = Window.orderBy("part")
-    heads = heads.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("next_head"))
+    last = F.last("tail").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    tails = tails.select("part", F.coalesce(F.lag("tail").over(order), last).alias("tail"))
     inside = Window.partitionBy("part").orderBy(F.col("key").desc_nulls_last())
-    chained = ranged.withColumn("follows", F.lead(F.struct("key")).over(inside)).join(F.broadcast(heads), "part")
-    return chained.select("key", F.coalesce("follows", "next_head")["key"].alias("next"))
+    chained = ranged.withColumn("higher", F.lag(pair).over(inside)).join(tails, "part")
+    higher = F.coalesce("higher", "tail")
+    return chained.select("key", higher["key"].alias("before"), higher["size"].alias("before_size"))
 
 
 def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
+    """``docs`` without the text but with ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
 
     The edited text is the document's with its last floor(n/2) code points replaced by the first as many of the next
     document, in descending order of id; the lowest id (null below all) is followed by the highest. Null texts are
     empty. Rows that share an id each get a row; as a next document that id stands for its smallest text. A single
     id follows itself; an empty table stays empty. Columns named like a result give way.
     """
-    own = docs.withColumn("_key", F.col(f"`{key}`")).withColumn("_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    printed = own.withColumn("_print", fingerprint(F.col("_text")))
-    first = printed.select("_key", "_text", "_print").withColumn(
-        "_no", F.row_number().over(Window.partitionBy("_key").orderBy("_text"))).filter("_no = 1")
-    first = first.select(F.col("_key").alias("_n"), F.col("_text").alias("_next_text"), F.col("_print").alias("_next_print"))
-    chain = next_ids(docs.select(F.col(f"`{key}`").alias("key")), "key")
-    chain = chain.select(F.col("key").alias("_k"), F.col("next").alias("_next"))
-    linked = printed.join(chain, F.col("_key").eqNullSafe(F.col("_k")))
-    both = linked.join(first, F.col("_next").eqNullSafe(F.col("_n")))
+    same = ["_k", "_z"]
+
+    def matched(name: str) -> list[Column]:      # an id as two columns that are never null
+        return [F.coalesce(F.col(name).cast("string"), F.lit("")), F.col(name).isNull()]
+    own = docs.withColumns(dict(zip(same, matched(f"`{key}`")))).withColumn(text, F.coalesce(f"`{text}`", F.lit(""))).withColumnRenamed(text, "_text")
+    chain = ids_before(docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.char_length(f"`{text}`"), F.lit(0)).alias("size")), "key", "size")
+    chain = chain.select(*[c.alias(n) for c, n in zip(matched("key") + matched("before"), [*same, "_bk", "_bz"])], "before_size")
+    # what a document gives to the one before it: the code points that may be wanted, and its fingerprint
+    order = Window.partitionBy(*same).orderBy("_text", f"`{key}`")
+    given = own.withColumn("_first", F.lag(F.lit(1)).over(order).isNull()).filter("_first").join(chain, same)
+    given = given.select(F.col("_bk").alias("_k"), F.col("_bz").alias("_z"), F.expr("left(_text, before_size div 2)").alias("_next_text"),
+                         fingerprint(F.col("_text")).alias("_next_print"))
+    both = own.join(given, same).drop(*same).withColumn("_print", fingerprint(F.col("_text")))
     half = F.floor(F.char_length("_text") / 2).cast("int")
     edited = F.concat(F.expr("left(_text, char_length(_text) - cast(floor(char_length(_text) / 2) as int))"),
                       F.expr("left(_next_text, cast(floor(char_length(_text) / 2) as int))"))
@@ -124,4 +133,4 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                    fingerprint=F.col("_print"), edited_fingerprint=F.col("_edited_print"),
                    near_edited=likeness(F.col("_print"), F.col("_edited_print")),
                    near_next=likeness(F.col("_print"), F.col("_next_print")))
-    return out.drop("_key", "_text", "_print", "_k", "_next", "_n", "_next_text", "_next_print", "_edited", "_edited_print")
+    return out.drop("_text", "_print", "_next_text", "_next_print", "_edited", "_edited_print")
