@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from souba.llm import bitmaps
 from souba.llm.common import written
 from souba.llm.components import components
 
@@ -34,7 +35,6 @@ WORDS = 5                # in a shingle
 K = 2                    # frequent shingles in a combination
 FREQUENT = 16            # groups a shingle is in, to be frequent
 BANDS = 6                # pairs of minimum hashes near copies are collapsed by
-BITMAP_BITS = 26         # of each bitmap's size in bits: 8 MiB
 FLUSH = 2_000_000        # shingles a task holds before it passes them on
 _MULTIPLIERS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 2 * BANDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -98,8 +98,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bit(column: str | Column) -> Column:
-    """A key's place in a bitmap of 2^BITMAP_BITS."""
-    return F.shiftrightunsigned(F.xxhash64(column), 64 - BITMAP_BITS)
+    """A key's place in a bitmap of 2^bitmaps.BITS."""
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - bitmaps.BITS)
 
 
 def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
@@ -109,21 +109,17 @@ def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
         bits[table.column("at").to_numpy()] = 1
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
     places = keys.select(_bit(column).alias("bit")).distinct().select(F.shiftright("bit", 16).alias("part"), F.col("bit").bitwiseAND(0xFFFF).alias("at"))
-    out = np.zeros(1 << BITMAP_BITS >> 3, dtype=np.uint8)
+    out = np.zeros(1 << bitmaps.BITS >> 3, dtype=np.uint8)
     for row in places.groupBy("part").applyInArrow(pack, "part bigint, bits binary").toLocalIterator():
         out[row["part"] << 13:row["part"] + 1 << 13] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out
 
 
-def _has(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return (bitmap[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).astype(bool)
-
-
 def _sets(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, bitmap = _WordHashes(), shared.value
         for batch in batches:
-            wanted = np.flatnonzero(_has(bitmap, batch.column("_place").to_numpy()))
+            wanted = np.flatnonzero(bitmaps.has(bitmap, batch.column("_place").to_numpy()))
             for at in range(0, len(wanted), 256):
                 part = batch.take(pa.array(wanted[at:at + 256]))
                 packed = [shingles(t.as_py(), cache).tobytes() for t in part.column("_text")]
@@ -206,37 +202,30 @@ def _classes(bits: int) -> Callable[[pa.Table], pa.Table]:
         fresh = first | np.concatenate([[True], group[1:] != group[:-1]])
         starts = np.flatnonzero(first)
         n_groups = np.add.reduceat(fresh.astype(np.int64), starts)
-        place = (code[starts] >> np.uint32(32 + bits - BITMAP_BITS)).astype(np.int64)
+        place = (code[starts] >> np.uint32(32 + bits - bitmaps.BITS)).astype(np.int64)
         slices = []
         for least in (2, FREQUENT):
-            flags = np.zeros(1 << BITMAP_BITS - bits, dtype=np.uint8)
-            flags[place[n_groups >= least]] = 1
-            slices.append(pa.array([np.packbits(flags).tobytes()], pa.binary()))
+            slices.append(pa.array([bitmaps.packed(place[n_groups >= least], bitmaps.BITS - bits)], pa.binary()))
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "shared": slices[0], "frequent": slices[1]})
     return classify
 
 
 def shingle_classes(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Bitmaps of the shingles that several groups have, and of those that many have (``docs``: _text, _group)."""
-    bits = max(6, min(BITMAP_BITS - 3, (total >> 20).bit_length()))     # about half a million classed shingles a bucket
+    bits = max(6, min(bitmaps.BITS - 3, (total >> 20).bit_length()))     # about half a million classed shingles a bucket
     rows = _mapped(docs.select("_text", "_group"), _count(bits), "bucket bigint, codes binary, whose binary, groups binary")
     found = rows.groupBy("bucket").applyInArrow(_classes(bits), "bucket bigint, shared binary, frequent binary")
-    shared, frequent = (np.zeros(1 << BITMAP_BITS - 3, dtype=np.uint8) for _ in range(2))
-    step = 1 << BITMAP_BITS - bits - 3
-    for row in found.toLocalIterator():
-        at = row["bucket"] * step
-        shared[at:at + step] = np.frombuffer(row["shared"], dtype=np.uint8)
-        frequent[at:at + step] = np.frombuffer(row["frequent"], dtype=np.uint8)
+    shared, frequent = bitmaps.assembled(found.toLocalIterator(), ["shared", "frequent"], bits)
     return shared, frequent
 
 
 def index_keys(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """The index keys of one set (see the module's text)."""
-    place = (tokens >> np.uint64(63 - BITMAP_BITS)).astype(np.int64)
+    place = (tokens >> np.uint64(63 - bitmaps.BITS)).astype(np.int64)
     classed = tokens < np.uint64(1 << 63)
     place[~classed] = 0
-    often = classed & _has(frequent, place)
-    rank = np.where(often, 3, np.where(~classed, 2, np.where(_has(shared, place), 1, 0)))
+    often = classed & bitmaps.has(frequent, place)
+    rank = np.where(often, 3, np.where(~classed, 2, np.where(bitmaps.has(shared, place), 1, 0)))
     order = np.argsort(rank, kind="stable")       # tokens are sorted by hash already
     rank, tokens = rank[order], tokens[order]
     needed = len(tokens) - least_overlap(len(tokens), percent) + 1

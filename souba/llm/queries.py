@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souba.llm import chat, decontaminate, fingerprints, jaccard, mixing, quality, sharding, toxicity, warc
+from souba.llm import chat, decontaminate, fingerprints, jaccard, mixing, quality, sharding, suffixes, toxicity, warc
 from souba.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,11 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text without the bytes of 200-byte strings that start elsewhere too."""
+    return suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's number of 5-word shingles and the class it is linked to at a Jaccard similarity of 0.75."""
     return jaccard.near_duplicates(table(spark, folder, "documents"))
@@ -85,7 +90,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_warc, op3_sharding, op4_toxicity, op5_chat, op6_mixing, op7_decontaminate,
-                                                     op9_jaccard, op10_quality)}
+                                                     op8_suffixes, op9_jaccard, op10_quality)}
 
 _HASH = "('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT"
 
@@ -94,8 +99,8 @@ ORACLES: dict[str, str] = {
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b USING (h) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM x JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * both >= 75 * (p.n + q.n - both)),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b USING (h) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM x JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * m >= 75 * (p.n + q.n - m)),
 r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v),
 k AS (SELECT v, min(c) AS c FROM r GROUP BY v)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FROM documents JOIN k ON v = doc_id LEFT JOIN n USING (doc_id)""",
