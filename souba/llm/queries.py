@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from souba.llm import chat, decontaminate, fingerprints, jaccard, mixing, quality, sharding, suffixes, toxicity, warc
 from souba.llm.common import table, written
 
@@ -91,6 +92,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_warc, op3_sharding, op4_toxicity, op5_chat, op6_mixing, op7_decontaminate,
                                                      op8_suffixes, op9_jaccard, op10_quality)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 _HASH = "('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT"
 
