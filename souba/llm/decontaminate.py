@@ -158,7 +158,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the given spans of words, from a span's first letter to its last."""
     raw, kept, at = text.encode("utf-8", "surrogatepass"), [], 0
-    where = [m.span() for m in _WORD.finditer(raw)] if spans else []
+    where = [m.span() for m in _WORD.finditer(raw.lower())] if spans else []
     for a, b in spans:
         kept.append(raw[at:where[a][0]])
         at = where[b - 1][1]
