@@ -39,52 +39,71 @@ def without_scripts(html: Column) -> Column:
 
 
 def cards_by_tag(html: Column, tag: str, css_class: str | None = None) -> Column:
-    """One string per card: from an opening tag up to the next one of its kind."""
+    """One string per card: an element's inside with its opening tag, cut short by the next one of its kind."""
     start = opening(tag, css_class)
     pieces = F.split(html, f"{_DOT_ALL}(?={start})")
-    return F.filter(pieces, lambda piece: piece.rlike(f"{_DOT_ALL}^{start}"))
+    return F.transform(F.filter(pieces, lambda piece: piece.rlike(f"{_DOT_ALL}^{start}")), lambda piece: element(piece, tag))
 
 
 def cards_in_list(html: Column, list_class: str | None = None, container: str = "ul") -> Column:
     """``li`` cards of the lists that carry a class; lists inside a card do not end it."""
-    lists = F.transform(cards_by_tag(html, container, list_class), lambda piece: _balanced(piece, container))
-    items = F.flatten(F.transform(lists, lambda one: cards_by_tag(one, "li")))
-    return F.transform(items, lambda item: F.regexp_replace(item, r"(?is)</li\s*>.*$", ""))
+    return F.flatten(F.transform(cards_by_tag(html, container, list_class), lambda one: cards_by_tag(one, "li")))
 
 
-def _balanced(piece: Column, tag: str) -> Column:
-    """A text that starts with an opening tag, up to the closing tag that belongs to it."""
-    step = lambda part: (
-        F.when(part.rlike(f"(?i)^<{tag}\\b"), 1).when(part.rlike(f"(?i)^</{tag}\\b"), -1).otherwise(0))
+def element(piece: Column, tag: str) -> Column:
+    """A text that starts with an opening tag, up to the closing tag that belongs to it (all of it where none does).
+
+    Tags of the name are counted; most elements hold none of their own name and end at the first closing tag.
+    """
+    edge = f"(?i)(?=</?{tag}\\b)"
+    closing = lambda part: part.startswith("</")
 
     def add(acc: Column, part: Column) -> Column:
-        depth = acc["depth"] + step(part)
-        over = acc["closed"] | (depth <= 0)
-        return F.struct(
-            depth.alias("depth"), over.alias("closed"),
-            F.when(over, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(part))).alias("kept"))
+        depth = acc["depth"] + F.when(part.rlike(f"(?i)^<{tag}\\b"), 1).when(closing(part), -1).otherwise(0)
+        inside = acc["inside"] & (depth > 0)
+        return F.struct(depth.alias("depth"), inside.alias("inside"),
+                        F.when(inside, acc["chars"] + F.char_length(part)).otherwise(acc["chars"]).alias("chars"))
+
+    def counted(text: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.lit(True).alias("inside"), F.lit(0).alias("chars"))
+        parts = F.filter(F.split(text, edge), lambda part: part != "")
+        return F.substring(text, F.lit(1), F.aggregate(parts, start, add)["chars"])
 
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("closed"), F.array().cast("array<string>").alias("kept"))
-    parts = F.split(piece, f"(?i)(?=</?{tag}\\b)")
-    return F.array_join(F.aggregate(F.filter(parts, lambda p: p != ""), start, add)["kept"], "")
+    flat = lambda text: let(F.split(text, edge, 3), lambda parts: F.when(
+        F.size(parts) < 2, text).when(closing(parts[1]), parts[0]).otherwise(counted(text)))
+    return let(piece, flat)
 
 
-def inner(fragment: Column, tag: str, css_class: str | None = None) -> Column:
+def inner(fragment: Column, tag: str, css_class: str | None = None, attribute: str | None = None) -> Column:
     """Inner HTML of the first such element; null when there is none."""
-    whole = blank_to_null(F.regexp_extract(fragment, f"{_DOT_ALL}{opening(tag, css_class)}.*?</{tag}\\s*>", 0))
-    return F.regexp_replace(whole, r"^<[^>]*>|<[^<]*$", "")
+    rest = blank_to_null(F.regexp_extract(fragment, f"{_DOT_ALL}{opening(tag, css_class, attribute)}.*$", 0))
+    return F.regexp_replace(element(rest, tag), r"^<[^>]*>", "")
+
+
+def inner_of_any(fragment: Column, css_class: str) -> Column:
+    """Inner HTML of the first element of a class, whatever its tag."""
+    tag = opening(r"([a-z][a-z0-9]*)", css_class)
+    return blank_to_null(F.regexp_extract(fragment, rf"{_DOT_ALL}{tag}(.*?)</\1\s*>", 2))
+
+
+def _elements(fragment: Column, tag: str, css_class: str | None) -> Column:
+    """All such elements with their opening tags, in page order; one inside another counts too."""
+    start = opening(tag, css_class)
+
+    def of(pieces: Column) -> Column:
+        rest = F.transform(pieces, lambda p, i: F.when(p.rlike(f"{_DOT_ALL}^{start}"), F.array_join(F.slice(pieces, i + 1, F.size(pieces)), "")))
+        return F.transform(F.filter(rest, lambda p: p.isNotNull()), lambda p: element(p, tag))
+    return let(F.split(fragment, f"{_DOT_ALL}(?={start})"), of)
 
 
 def inner_all(fragment: Column, tag: str, css_class: str | None = None) -> Column:
     """Inner HTML of all such elements, in page order."""
-    pattern = f"{_DOT_ALL}{opening(tag, css_class)}(.*?)</{tag}\\s*>"
-    return F.regexp_extract_all(fragment, F.lit(pattern), F.lit(1))
+    return F.transform(_elements(fragment, tag, css_class), lambda e: F.regexp_replace(e, r"^<[^>]*>", ""))
 
 
 def outer_all(fragment: Column, tag: str, css_class: str | None = None) -> Column:
     """Elements with their own tags, in page order."""
-    pattern = f"{_DOT_ALL}({opening(tag, css_class)}.*?</{tag}\\s*>)"
-    return F.regexp_extract_all(fragment, F.lit(pattern), F.lit(1))
+    return F.transform(_elements(fragment, tag, css_class), lambda e: F.concat(e, F.lit(f"</{tag}>")))
 
 
 def first_tag(fragment: Column, tag: str, css_class: str | None = None, attribute: str | None = None) -> Column:
@@ -113,11 +132,13 @@ def unescape(text: Column) -> Column:
 
 
 def _numeric_references(text: Column) -> Column:
-    """``&#N;`` and ``&#xN;``"""
+    """``&#N;`` and ``&#xN;``; a number that is no character gives U+FFFD."""
     def decoded(acc: Column, ref: Column) -> Column:
         is_hex = F.lower(ref).startswith("x")
         digits = F.when(is_hex, F.substring(ref, 2, 8)).otherwise(F.conv(ref, 10, 16))
-        char = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+        number = F.conv(digits, 16, 10).cast("int")
+        known = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.when(known, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
         return F.replace(acc, F.concat(F.lit("&#"), ref, F.lit(";")), char)
     pattern = r"&#([xX][0-9a-fA-F]{1,6}|\d{1,7});"
     return let(text, lambda t: F.aggregate(

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+_LOCAL: dict[str, str] = {}   # temporary folders of local sessions
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,30 +40,19 @@ def local_session(name: str = "souba", cores: str | int = "*", shuffle_partition
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and tables handed from one job to the next.
 
-    The cluster names it in ``spark.checkpoint.dir``; a local folder is made
-    only where that is unset (tests, the local bench).
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local session (tests, the bench) gets a
+    temporary folder; any other is refused, as is a path without a scheme: either may name a folder of one machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    local = context.master.startswith("local[") or context.master == "local"
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named and local:
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="souba-")
+        named = _LOCAL[context.applicationId]
     if not named:
-        named = tempfile.mkdtemp(prefix="souba-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    spark.sparkContext.setCheckpointDir(named)
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not local and ":/" not in named:
+        raise RuntimeError(f"spark.checkpoint.dir is {named}: name its file system, so that it is not taken for a local folder")
+    context.setCheckpointDir(named)
     return named.rstrip("/")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small file over all cores, for work that is heavy per row.
-
-    A scan that already has a task per core is returned as it is, which is
-    always so for large tables. Only for plain scans: asking for the number of
-    splits must not run anything.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores and len(df.inputFiles()) >= cores else df.repartition(cores)
-
-
-def wide_enough(spark: SparkSession) -> int:
-    """Partitions for a shuffle ahead of work that is heavy per row."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -102,16 +102,16 @@ def _comparison_fields() -> dict[str, Column]:
 
 # --- P2 card list with single and aggregated links ----------------------------
 def _recycle_raw(card: Column) -> dict[str, Column]:
-    link = H.first_tag(card, "a")
+    link, inside = H.first_tag(card, "a"), H.inner(card, "a")
     return {
         "_href": H.attribute(link, "href"),
         "_grouped": H.has_class(link, "sys-aggregation-item"),
-        "_brand": H.text_of(H.inner(card, "p", "sys-maker")),
-        "_name": F.coalesce(H.text_of(H.inner(card, "p", "sys-name")),
-                            H.text_of(H.inner(card, "p", "sys-short-name")), F.lit("")),
-        "_price": H.text_of(H.inner(card, "span", "sys-price")),
-        "_rank": H.text_of(H.inner(card, "strong", "sys-rank")),
-        "_shop": H.text_of(H.inner(card, "dd", "sys-handled-shop-name")),
+        "_brand": H.text_of(H.inner(inside, "p", "sys-maker")),
+        "_name": F.coalesce(H.text_of(H.inner(inside, "p", "sys-name")),
+                            H.text_of(H.inner(inside, "p", "sys-short-name")), F.lit("")),
+        "_price": H.text_of(H.inner(inside, "span", "sys-price")),
+        "_rank": H.text_of(H.inner(inside, "strong", "sys-rank")),
+        "_shop": H.text_of(H.inner(inside, "dd", "sys-handled-shop-name")),
     }
 
 
@@ -136,9 +136,10 @@ def _recycle_fields() -> dict[str, Column]:
 
 # --- P3 card list with span texts ----------------------------------------------
 def _span_raw(card: Column) -> dict[str, Column]:
-    spans = H.inner_all(card, "span", "subspec")
+    link = H.inner(card, "a")
+    spans = H.inner_all(link, "span", "subspec")
     strong = H.inner_all(F.array_join(spans, " "), "strong")
-    priced = F.filter(F.transform(H.inner_all(card, "p"), H.raw_text_of), lambda p: p.contains("￥"))
+    priced = F.filter(F.transform(H.inner_all(link, "p"), H.raw_text_of), lambda p: p.contains("￥"))
     sold_out = rf"(?is)<img\b[^>]*\balt\s*=\s*[\"']{fv.SOLD_OUT}[\"']"
     return {
         "_href": H.attribute(H.first_tag(card, "a"), "href"),
@@ -146,7 +147,7 @@ def _span_raw(card: Column) -> dict[str, Column]:
         "_model": H.text_of(F.get(strong, 1)),
         "_texts": F.transform(spans, H.text_of),
         "_price": F.get(priced, 0),
-        "_active": ~card.rlike(sold_out),
+        "_active": ~link.rlike(sold_out),
     }
 
 
@@ -206,12 +207,12 @@ def _comment_fields() -> dict[str, Column]:
 
 # --- P5 box list with "label : value" lines --------------------------------------
 def _line_raw(card: Column) -> dict[str, Column]:
-    shop = H.inner(card, "div", "zaiko_shop")
+    shop, link = H.inner(card, "div", "zaiko_shop"), H.inner(card, "a", attribute="href")
     return {
         "_href": H.attribute(H.first_tag(card, "a", attribute="href"), "href"),
-        "_brand": H.text_of(H.inner(card, "span", "mfr_tx")),
-        "_name": F.coalesce(H.text_of(H.inner(card, "div", "item_ti")), F.lit("")),
-        "_lines": F.transform(H.inner_all(card, "div", "item_spec1"), H.text_of),
+        "_brand": H.text_of(H.inner(link, "span", "mfr_tx")),
+        "_name": F.coalesce(H.text_of(H.inner(link, "div", "item_ti")), F.lit("")),
+        "_lines": F.transform(H.inner_all(link, "div", "item_spec1"), H.text_of),
         "_condition": F.coalesce(H.text_of(H.inner(card, "li", "evaluation_rating")), F.lit("")),
         "_price": H.raw_text_of(H.inner(H.inner(card, "div", "price_tx"), "strong")),
         "_shop": H.text_of(H.inner(shop, "a")),
@@ -274,7 +275,7 @@ def _box_fields() -> dict[str, Column]:
 
 # --- P8 list with the id in a data attribute ----------------------------------------
 def _clip_raw(card: Column) -> dict[str, Column]:
-    price = F.coalesce(H.inner(card, "span", "price--num"), H.inner(card, "p", "price--num"))
+    price = H.inner_of_any(card, "price--num")
     return {
         "_name": H.text_of(H.inner(card, "p", "name")),
         "_price": H.text_of(price),
