@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from souba.schemas import LISTING_REQUIRED, PRODUCT_COLUMNS, PRODUCT_KEY, PRODUCTS
+from souba.schemas import LISTING_REQUIRED, ORDER_COLUMNS, PRODUCT_COLUMNS, PRODUCT_KEY, PRODUCTS
 
 _CATALOGUE_NAMES = {"itemCode": "item_code", "itemName": "item_name", "itemUrl": "item_url", "shopName": "shop_name"}
 
@@ -61,7 +61,7 @@ def standardise(listings: DataFrame, source: str | None = None, seen_at: Column
     if "display_size" in df.columns and dict(df.dtypes)["display_size"] == "string":
         df = df.withColumn("display_size", F.nullif(
             F.regexp_extract("display_size", r"(\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double"))
-    extra = [c for c in ("itemPrice", "scraped_at", "brand_extracted", "model_extracted") if c in df.columns]
+    extra = [c for c in ("itemPrice", "scraped_at", "brand_extracted", "model_extracted", *ORDER_COLUMNS) if c in df.columns]
     return df.select(*[c for c in PRODUCT_COLUMNS if c in df.columns], *extra)
 
 
@@ -173,10 +173,14 @@ def enrich_details(listings: DataFrame, details: DataFrame, key: str) -> DataFra
 
 
 def contract_report(listings: DataFrame) -> DataFrame:
-    """B18 how many rows of each source break each rule of the listing contract."""
-    present = [c for c in LISTING_REQUIRED if c in listings.columns and c not in ("itemPrice", "source")]
+    """B18 how many rows of each source break each rule of the listing contract.
+
+    A required column that the listings lack is broken in every row.
+    """
+    absent = {c: F.lit(None).cast("bigint" if c == "itemPrice" else "string") for c in LISTING_REQUIRED if c not in listings.columns}
+    listings = listings.withColumns(absent)
     rules = {
-        **{f"null_{c}": F.col(c).isNull() for c in present},
+        **{f"null_{c}": F.col(c).isNull() for c in LISTING_REQUIRED if c not in ("itemPrice", "source")},
         "blank_code": F.trim("itemCode") == "",
         "url_not_https": ~F.col("itemUrl").startswith("https://"),
         "not_jst": ~F.col("scraped_at").cast("string").contains("+09:00"),

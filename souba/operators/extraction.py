@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from souba.functions import specs
 from souba.functions.text import to_half_width
 from souba.functions.titles import canonical_model
-from souba.schemas import SPEC_FIELDS
+from souba.schemas import ORDER_COLUMNS, SPEC_FIELDS
 
 _ID_COLUMNS = ["itemCode", "genreId", "shopName", "is_active", "scraped_at", "search_query"]
 
@@ -20,8 +20,7 @@ def extract_specs(df: DataFrame, text_col: str = "combined", price_col: str | No
     regex expressions. ``optional`` adds the seven optional fields.
     """
     ids = [c for c in (name_col, price_col) if c and c in df.columns] + _ID_COLUMNS
-    if "itemUrl" in df.columns:
-        ids.append("itemUrl")
+    ids += [c for c in ("itemUrl", *ORDER_COLUMNS) if c in df.columns]
     fields = {name: specs.FIELDS[name] for name in SPEC_FIELDS}
     if optional:
         fields = {**fields, **specs.OPTIONAL_FIELDS}

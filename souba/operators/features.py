@@ -70,55 +70,45 @@ def encode(train: DataFrame, df: DataFrame) -> DataFrame:
 
 
 # --- training set ----------------------------------------------------------------
-def training_set(products: DataFrame, history: DataFrame) -> DataFrame:
+def training_set(products: DataFrame, history: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """M6 / B12 / C1 / C4 one row per positive price of a product with a brand.
 
     The semi-join of the id batches is the inner join itself: products are unique.
+    ``keep`` names history columns that tell observations apart; they come along.
     """
+    keep = keep or []
     known = products.where(F.col("brand").isNotNull()).select("id", *FEATURE_INPUTS)
-    prices = history.where(F.col("price") > 0).select(F.col("product_id").alias("id"), "price")
-    return prices.join(known, "id", "inner").select("id", *FEATURE_INPUTS, "price")
+    prices = history.where(F.col("price") > 0).select(F.col("product_id").alias("id"), "price", *keep)
+    return prices.join(known, "id", "inner").select("id", *FEATURE_INPUTS, "price", *keep)
 
 
 def exact_split(df: DataFrame, ids: list[str], ratio: float = fv.TRAIN_RATIO,
                 seed: int = fv.RANDOM_SEED) -> DataFrame:
     """E4 / F6 mark exactly ``int(ratio * n)`` shuffled rows with ``is_train``.
 
-    The shuffled order is that of a hash of the ids, so the split is a threshold
-    on the hash. Rows are counted per hash prefix to find the prefix the cut
-    falls into, once for four digits and once more inside that prefix for eight;
-    only rows that share all eight are ranked. Nothing is sorted as a whole and
-    the rows themselves do not move. ``ids`` must tell rows apart.
+    The shuffled order is that of a hash of the ids (60 bits), so the split is a
+    threshold on the hash. The rows are read twice: once to count them per 24
+    bits, once to be marked. Sums per 12 bits, then the counts within the 12 bits
+    the cut falls into, find the cell of the cut, whose few hashes are in order.
+    The windows run over 4,096 rows at most; the rows themselves do not move.
+    ``ids`` must tell rows apart.
     """
-    key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ids], F.lit(str(seed))))
-    keys = df.select(key.alias("_key"))
-    cut = _slot_of_cut(keys, 4, F.floor(F.sum("_n").over(Window.partitionBy()) * ratio))
-    inside = _rows_of_slot(keys, 4, cut)
-    cut = _slot_of_cut(inside, 8, F.max("_room").over(Window.partitionBy()))
-    inside = _rows_of_slot(inside.drop("_room"), 8, cut)
-    rank = F.row_number().over(Window.partitionBy(F.substring("_key", 1, 8)).orderBy("_key"))
-    threshold = inside.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_room")).agg(F.max("_key"))
-    return df.withColumn("is_train", F.coalesce(key <= threshold.scalar(), F.lit(False)))
-
-
-def _slot_of_cut(keys: DataFrame, digits: int, cut: Column) -> DataFrame:
-    """The hash prefix the cut falls into and the number of its rows before the cut; one row.
-
-    The windows see one row per prefix of four more digits: 65,536 at most.
-    """
-    counts = [F.count(F.lit(1)).alias("_n")] + ([F.max("_room").alias("_room")] if "_room" in keys.columns else [])
-    slots = keys.groupBy(F.substring("_key", 1, digits).alias("_slot")).agg(*counts)
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ids], F.lit(str(seed)))), 1, 15), 16, 10).cast("bigint")
+    cells = df.select(key.alias("_key")).groupBy(F.shiftright("_key", 36).alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_n"), F.collect_list("_key").alias("_keys"))
     upto = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        slots.withColumns({"_upto": F.sum("_n").over(upto), "_cut": cut})
-        .where((F.col("_upto") >= F.col("_cut")) & (F.col("_upto") - F.col("_n") < F.col("_cut")))
-        .select("_slot", (F.col("_cut") - F.col("_upto") + F.col("_n")).alias("_room"))
-    )
 
-
-def _rows_of_slot(keys: DataFrame, digits: int, slot: DataFrame) -> DataFrame:
-    """Keys with the prefix of a one-row table, and its room."""
-    return keys.withColumn("_slot", F.substring("_key", 1, digits)).join(F.broadcast(slot), "_slot").drop("_slot")
+    def of_cut(slots: DataFrame, cut: Column) -> DataFrame:
+        """The slot the cut falls into, with the number of its rows before the cut."""
+        summed = slots.withColumns({"_upto": F.sum("_n").over(upto), "_cut": cut})
+        return summed.where((F.col("_upto") >= F.col("_cut")) & (F.col("_upto") - F.col("_n") < F.col("_cut"))).withColumn(
+            "_room", (F.col("_cut") - F.col("_upto") + F.col("_n")).cast("int"))
+    coarse = cells.groupBy(F.shiftright("_cell", 12).alias("_slot")).agg(F.sum("_n").alias("_n"))
+    coarse = of_cut(coarse, F.floor(F.sum("_n").over(Window.partitionBy()) * ratio)).select(F.col("_slot").alias("_coarse"), F.col("_room").alias("_cut"))
+    inside = cells.withColumn("_coarse", F.shiftright("_cell", 12)).join(F.broadcast(coarse), "_coarse")   # one row
+    fine = of_cut(inside.withColumnRenamed("_cell", "_slot"), F.col("_cut"))
+    threshold = fine.agg(F.max(F.element_at(F.sort_array("_keys"), F.col("_room"))))
+    return df.withColumn("is_train", F.coalesce(key <= threshold.scalar(), F.lit(False)))
 
 
 def split_by_product(df: DataFrame, product: str = "id", ratio: float = fv.TRAIN_RATIO,

@@ -81,6 +81,9 @@ def count_by_date(df: DataFrame, price: str = "price", timestamp: str = "scraped
     )
 
 
+_NO_PRICE = 0   # stands for a missing price beside the mark that it is missing
+
+
 def spec_breakdown(df: DataFrame, by: list[str], specs: list[str] | None = None, price: str = "price") -> DataFrame:
     """D10 median and count per value of each spec, from one scan.
 
@@ -90,14 +93,12 @@ def spec_breakdown(df: DataFrame, by: list[str], specs: list[str] | None = None,
     long = df.select(*by, price, F.explode(F.array(*[
         F.struct(F.lit(s).alias("spec"), F.col(s).cast("string").alias("value")) for s in specs])).alias("_s"))
     long = long.select(*by, price, "_s.spec", "_s.value").where("value IS NOT NULL")
-    # Two values or more: the least and the greatest differ. Values that only
-    # come without a price count as well.
-    shown = (
-        long.groupBy(*by, "spec").agg(F.min("value").alias("_least"), F.max("value").alias("_greatest"))
-        .where(F.col("_least") != F.col("_greatest")).select(*by, "spec")
-    )
-    per_value = grouped_summary(long, [*by, "spec", "value"], price, MEDIAN, ("count",))
-    return _with_group(per_value, shown, [*by, "spec"], "left_semi")
+    # Values that only come without a price count as values, so they are folded too and left out afterwards.
+    marked = long.select(*by, "spec", "value", F.coalesce(F.col(price), F.lit(_NO_PRICE)).alias(price), F.col(price).isNotNull().cast("int").alias("_priced"))
+    per_value = grouped_summary(marked, [*by, "spec", "value", "_priced"], price, MEDIAN, ("count",))
+    group = Window.partitionBy(*by, "spec")
+    several = F.min("value").over(group) != F.max("value").over(group)
+    return per_value.withColumn("_several", several).where("_several AND _priced = 1").drop("_several", "_priced")
 
 
 def _histogram_groups(df: DataFrame, by: list[str], price: str, most: int, least: int, per_bin: int) -> DataFrame:

@@ -14,8 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from souba.operators import catalog, extraction, features
-from souba.schemas import PRODUCT_KEY, PRODUCTS
+from souba.operators import catalog, extraction, features, noise
+from souba.schemas import ORDER_COLUMNS, PRODUCT_KEY, PRODUCTS
 from souba.session import shared_dir
 from souba.sources import html_pages, json_pages, sinks
 
@@ -30,8 +30,11 @@ def with_product_id(products: DataFrame) -> DataFrame:
 
 
 def api_listings(pages: DataFrame, scraped_at: str) -> DataFrame:
-    """B1 B2 B6 T1 API pages (with their search_query) to listings with specs."""
-    items = json_pages.computers_only(json_pages.explode_items(pages))
+    """B1 B2 B6 B7 T1 API pages (with their search_query, and query_no and page_no where known) to listings with specs.
+
+    Accessories are dropped by title and genre before anything is read out of the text.
+    """
+    items = noise.filter_computers(json_pages.computers_only(json_pages.explode_items(pages))).drop("is_uncertain")
     raw = items.withColumns({
         "combined": json_pages.combined_text(F.col("itemName"), F.col("itemCaption")),
         "scraped_at": F.lit(scraped_at), "is_active": F.lit(True)})
@@ -39,9 +42,14 @@ def api_listings(pages: DataFrame, scraped_at: str) -> DataFrame:
     return found
 
 
-def page_listings(pages: DataFrame, layout: str, scraped_at: str) -> DataFrame:
-    """P1-P8 HTML pages to listings; shops without spec fields get them from the title."""
+def page_listings(pages: DataFrame, layout: str, scraped_at: str, details: DataFrame | None = None) -> DataFrame:
+    """P1-P8 HTML pages to listings; shops without spec fields get them from the title.
+
+    ``details`` are landed detail pages (``itemUrl``, ``html``), P6: what they say wins over the list, C7.
+    """
     cards = html_pages.extract_cards(pages, html_pages.LAYOUTS[layout], F.lit(scraped_at))
+    if details is not None:
+        cards = catalog.enrich_details(cards, catalog.keep_first(html_pages.extract_details(details), ["itemUrl"], ["sku"]), "itemUrl")
     if layout not in ("shop_boxes", "clip_list"):
         return cards
     named = cards.withColumns({"combined": F.col("itemName"), "genreId": F.lit(None).cast("string")})
@@ -55,18 +63,23 @@ class RunReport:
     run_id: str
     sources: list[str] = field(default_factory=list)
     failed: dict[str, str] = field(default_factory=dict)
+    scraped: dict[str, int] = field(default_factory=dict)   # items per source, and those with a URL not yet in the catalogue
+    new: dict[str, int] = field(default_factory=dict)
 
 
 def nightly_run(spark: SparkSession, listings: dict[str, DataFrame], catalogue_path: str, history_path: str,
-                seen_at: dt.datetime) -> RunReport:
+                seen_at: dt.datetime, run_id: str | None = None, retire: bool = True) -> RunReport:
     """Listings of each source into catalogue and history.
 
     A source that fails is reported and left as it was; the others go on. All
     queries of a source are one set, so no query retires what another saw. Only
-    the catalogue partitions of the run's sources are read and rewritten.
+    the catalogue partitions of the run's sources are read and rewritten. A run
+    that is tried again under its ``run_id`` replaces its own observations.
+    ``retire=False`` leaves unseen products alone: for parts of a run, after the
+    last of which ``retire_unseen`` looks at the whole.
     """
-    report = RunReport(uuid.uuid4().hex)
-    run = f"{shared_dir(spark)}/runs/{report.run_id}"
+    report = RunReport(run_id or uuid.uuid4().hex)
+    run = f"{shared_dir(spark)}/runs/{report.run_id}-{uuid.uuid4().hex}"
     stamp = F.lit(seen_at).cast("timestamp")
     for source, rows in listings.items():
         try:
@@ -81,30 +94,43 @@ def nightly_run(spark: SparkSession, listings: dict[str, DataFrame], catalogue_p
 
     known = sinks.Snapshots(spark, catalogue_path)
     current = known.read(CATALOGUE, report.sources)
+    for row in catalog.run_counters(current, landed).collect():      # one row per source
+        report.scraped[row["source"]], report.new[row["source"]] = row["items_scraped"], row["items_new"]
+    order = [*ORDER_COLUMNS, "item_url", "item_name", "itemPrice", "search_query"]
     one_each = catalog.keep_first(landed.where(F.col("item_code").isNotNull()), PRODUCT_KEY,
-                                  ["search_query", "item_url", "item_name"])
+                                  [F.col(c).asc_nulls_last() for c in order if c in landed.columns])
     batch = one_each.select(*[c for c in PRODUCTS.fieldNames() if c in one_each.columns])
     merged = catalog.upsert_products(current, batch)
-    merged = catalog.deactivate_unseen(with_product_id(merged), batch, report.sources)
+    merged = with_product_id(merged)
+    if retire:
+        merged = catalog.deactivate_unseen(merged, batch, report.sources)
     known.write(merged.select(CATALOGUE.fieldNames()))
+    known.retire()
 
     products = known.read(CATALOGUE, report.sources)
     observed = catalog.price_observations(landed.withColumn("scraped_at", stamp), products)
-    sinks.append_history(observed, history_path)
+    sinks.append_history(observed, history_path, run=report.run_id)
     return report
 
 
+def retire_unseen(spark: SparkSession, catalogue_path: str, sources: list[str], run_start: dt.datetime) -> None:
+    """C5 after the last part of a run: products of its sources last seen before it become inactive."""
+    known = sinks.Snapshots(spark, catalogue_path)
+    current = known.read(CATALOGUE, sources)
+    known.write(catalog.deactivate_stale(current, sources, F.lit(run_start).cast("timestamp")))
+
+
 def train_job(spark: SparkSession, catalogue_path: str, history_path: str, model_path: str,
               max_iter: int = 300, **params) -> DataFrame:
     """M6 M7 A12 fit on 80 % of the observations, save, report on the rest."""
     products = sinks.Snapshots(spark, catalogue_path).read(CATALOGUE)
     history = sinks.read_history(spark, history_path)
-    rows = features.training_set(products, history)
+    # A row number is not stable across retries; the split hashes what tells observations apart.
+    apart = ["scraped_at", "item_code", "search_query"]
+    rows = features.training_set(products, history, keep=apart)
     if rows.isEmpty():
         raise RuntimeError("no priced observation of a product with a brand")
-    # A row number is not stable across retries; the split hashes what the row holds.
-    rows = rows.join(history.select(F.col("product_id").alias("id"), "price", "scraped_at").distinct(), ["id", "price"])
-    sides = features.exact_split(rows, ["id", "price", "scraped_at"])
+    sides = features.exact_split(rows, ["id", "price", *apart])
     path = f"{shared_dir(spark)}/training-{uuid.uuid4().hex}"
     sides.write.parquet(path)
     sides = spark.read.parquet(path)
@@ -113,12 +139,12 @@ def train_job(spark: SparkSession, catalogue_path: str, history_path: str, model
     return features.evaluate(model, sides.where("NOT is_train"))
 
 
-def score_job(spark: SparkSession, catalogue_path: str, model_path: str, predictions_path: str) -> DataFrame:
+def score_job(spark: SparkSession, catalogue_path: str, model_path: str, predictions_path: str, run: str | None = None) -> DataFrame:
     """M8 A8 predict all active products and append the predictions."""
     model: PipelineModel = features.load_model(model_path)
     products = sinks.Snapshots(spark, catalogue_path).read(CATALOGUE)
     scored = features.score_active(model, products)
-    sinks.append_predictions(scored, predictions_path)
+    sinks.append_predictions(scored, predictions_path, run)
     return scored
 
 

@@ -287,13 +287,12 @@ WITH f AS (SELECT * FROM {FACT_SQL} WHERE price IS NOT NULL),
 m AS (SELECT display_name, median(price) AS med FROM f GROUP BY display_name)
 SELECT f.display_name, f.item_name, f.item_url, f.order_key, f.line_number, f.price, f.memory, f.cpu, f.ssd,
        round_even((f.price - med) / nullif(med, 0) * 100, 1) AS vs_median_pct
-FROM f JOIN m USING (display_name) ORDER BY display_name, price""")
+FROM f JOIN m USING (display_name)""")
 def listings_vs_median(spark, sf_dir):
-    """E2 C10 F3"""
+    """E2 C10 F3; each model's listings by price where they are shown, the table itself in no order"""
     rows = facts_op.scoped(facts(spark, sf_dir)).select(
         "display_name", "item_name", "item_url", "order_key", "line_number", "price", "memory", "cpu", "ssd")
-    shown = market.against_median(rows, ["display_name"]).drop("median")
-    return shown.orderBy("display_name", "price", "order_key", "line_number")
+    return market.against_median(rows, ["display_name"]).drop("median").sortWithinPartitions("display_name", "price", "order_key", "line_number")
 
 
 @query("listing_labels", f"""

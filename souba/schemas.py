@@ -25,6 +25,9 @@ API_PAGE = T.StructType([
     T.StructField("error_description", T.StringType()),
 ])
 
+# Where a listing stood: order of the queries, page, place on it. Carried along where known.
+ORDER_COLUMNS = ["query_no", "page_no", "position", "card_no"]
+
 LISTING_REQUIRED = [
     "itemCode", "itemName", "itemUrl", "itemPrice", "shopName",
     "source", "search_query", "is_active", "scraped_at",

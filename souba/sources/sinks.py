@@ -21,8 +21,8 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """A11 one record per line."""
-    df.write.mode("overwrite").json(path)
+    """A11 one record per line, nulls kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def json_records(df: DataFrame, column: str = "record") -> DataFrame:
@@ -30,16 +30,17 @@ def json_records(df: DataFrame, column: str = "record") -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(column))
 
 
-def append_history(observations: DataFrame, path: str, unit: str = "day") -> None:
-    """A7 append-only history, one folder per observation day (or month, for long backfills).
+def append_history(observations: DataFrame, path: str, unit: str = "day", run: str | None = None) -> None:
+    """A7 append-only history, one folder per observation day (or month, for long backfills) and run.
 
-    Rows of a folder go to few writers, but a big one is still split by the
-    adaptive rebalance instead of landing in one task.
+    A run (or micro-batch) that is tried again under its name replaces what it
+    wrote before and nothing else. Rows of a folder go to few writers, but a big
+    one is still split by the adaptive rebalance instead of landing in one task.
     """
     (
-        observations.withColumn("obs_date", F.to_date(F.date_trunc(unit, "scraped_at")))
+        observations.withColumns({"obs_date": F.to_date(F.date_trunc(unit, "scraped_at")), "run": F.lit(run or uuid.uuid4().hex)})
         .hint("rebalance", "obs_date")
-        .write.mode("append").partitionBy("obs_date").parquet(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obs_date", "run").parquet(path)
     )
 
 
@@ -48,9 +49,10 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def append_predictions(scored: DataFrame, path: str) -> None:
-    """A8"""
-    scored.write.mode("append").parquet(path)
+def append_predictions(scored: DataFrame, path: str, run: str | None = None) -> None:
+    """A8 one folder per run; a run that is tried again replaces its own."""
+    named = scored.withColumn("run", F.lit(run or uuid.uuid4().hex))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 class Snapshots:
@@ -104,3 +106,11 @@ class Snapshots:
             df.hint("rebalance", "source").write.mode("errorifexists")
             .option("compression", "snappy").partitionBy("source").parquet(target)
         )
+
+    def retire(self, keep: int = 7) -> list[str]:
+        """Delete complete snapshots that no source is read from, the ``keep`` newest excepted; their names."""
+        used = {folder.split("/")[-2] for folder in self.newest().values()}
+        old = [name for name in self._complete()[:-keep] if name not in used]
+        for name in old:
+            self._fs.delete(self._hadoop(f"{self.path}/{name}"), True)
+        return old

@@ -7,11 +7,13 @@ same job with another trigger.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from souba.plans import jobs
 from souba.schemas import API_PAGE, PRODUCT_KEY
 from souba.session import shared_dir
 
@@ -35,6 +37,26 @@ def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], name
     )
 
 
+def ingest(stream: DataFrame, listings: Callable[[DataFrame], dict[str, DataFrame]], catalogue_path: str, history_path: str,
+           run_start: dt.datetime, name: str) -> list[jobs.RunReport]:
+    """S1 work off landed pages into catalogue and history, however many micro-batches that takes.
+
+    Each batch only upserts and appends, under a name of its own, so a batch that is tried again counts once. When the
+    folder is worked off, products of the sources seen, and of no failed one, that no batch saw become inactive.
+    """
+    spark, reports = stream.sparkSession, []
+
+    def write(batch: DataFrame, number: int) -> None:
+        run = f"{name}-{run_start:%Y%m%d%H%M%S}-{number}"
+        reports.append(jobs.nightly_run(spark, listings(batch), catalogue_path, history_path, run_start, run_id=run, retire=False))
+    run_batches(stream, write, name).awaitTermination()
+    failed = {source for r in reports for source in r.failed}
+    sources = sorted({source for r in reports for source in r.sources} - failed)
+    if sources:
+        jobs.retire_unseen(spark, catalogue_path, sources, run_start)
+    return reports
+
+
 def first_observations(stream: DataFrame, timestamp: str = "scraped_at", delay: str = "1 day") -> DataFrame:
     """S2 one observation per (source, item_code) within the watermark."""
     typed = stream.withColumn(timestamp, F.col(timestamp).cast("timestamp"))

@@ -29,22 +29,29 @@ def test_landed_pages_into_catalogue(spark, rows, tmp_path):
     landing.mkdir()
     catalogue, history = str(tmp_path / "products"), str(tmp_path / "history")
 
-    def write(batch, batch_id):
-        pages = batch.withColumn("search_query", F.lit("L580"))
-        listings = jobs.api_listings(pages, "2026-02-21T10:00:00+09:00")
-        report = jobs.nightly_run(spark, {"rakuten": listings}, catalogue, history, dt.datetime(2026, 2, 21 + batch_id))
-        assert not report.failed
-
-    (landing / "1.json").write_text(_page(["a", "b"], 100) + "\n" + '{"error": "x"}\n', encoding="utf-8")
-    streams.run_batches(streams.landed_pages(spark, str(landing)), write, f"ingest-{RUN}").awaitTermination()
-    (landing / "2.json").write_text(_page(["b", "c"], 200), encoding="utf-8")
-    streams.run_batches(streams.landed_pages(spark, str(landing)), write, f"ingest-{RUN}").awaitTermination()
+    def work_off(day):
+        def listings(batch):
+            return {"rakuten": jobs.api_listings(batch.withColumn("search_query", F.lit("L580")), "2026-02-21T10:00:00+09:00")}
+        stream = streams.landed_pages(spark, str(landing), files_per_batch=1)
+        reports = streams.ingest(stream, listings, catalogue, history, dt.datetime(2026, 2, day), f"ingest-{RUN}")
+        assert not any(r.failed for r in reports)
+        return reports, {r["item_code"]: r["is_active"] for r in rows(sinks.Snapshots(spark, catalogue).read(jobs.CATALOGUE))}
+
+    for k, code in enumerate("abz"):
+        (landing / f"{k}.json").write_text(_page([code], 100) + "\n" + '{"error": "x"}\n', encoding="utf-8")
+    reports, active = work_off(21)
+    assert len(reports) == 3 and active == {"a": True, "b": True, "z": True}     # three batches, one run
+    assert sum(r.new["rakuten"] for r in reports) == 3
+    (landing / "8.json").write_text(_page(["b"], 200), encoding="utf-8")
+    (landing / "9.json").write_text(_page(["c"], 200), encoding="utf-8")
+    reports, active = work_off(22)
+    assert len(reports) == 2 and active == {"a": False, "b": True, "c": True, "z": False}
+    assert work_off(23)[1] == active                                             # nothing landed, nothing retired
 
     products = {r["item_code"]: r for r in rows(sinks.Snapshots(spark, catalogue).read(jobs.CATALOGUE))}
-    assert {c: p["is_active"] for c, p in products.items()} == {"a": False, "b": True, "c": True}
     assert products["b"]["memory"] == "8GB" and products["b"]["model"] == "L580" and products["b"]["brand"] is None
     seen = sorted((r["item_code"], r["price"]) for r in rows(sinks.read_history(spark, history)))
-    assert seen == [("a", 100), ("b", 100), ("b", 200), ("c", 200)]
+    assert seen == [("a", 100), ("b", 100), ("b", 200), ("c", 200), ("z", 100)]
 
 
 def test_duplicates_within_watermark(spark, rows, tmp_path):
