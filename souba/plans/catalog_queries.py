@@ -6,11 +6,13 @@ runs and make up the catalogue, those from ``RUN`` on are the current batch.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
 
-from souba.operators import catalog
+from souba.operators import catalog, facts as facts_op
+from souba.plans import jobs
 from souba.plans.registry import query
 from souba.plans.views import table
 from souba.session import shared_dir
@@ -291,3 +293,60 @@ def history_partitions(spark, sf_dir):
     back = sinks.read_history(spark, path).where("obs_date >= DATE '1998-01-01' AND obs_date < DATE '1998-03-01'")
     return back.groupBy(F.date_format("scraped_at", "yyyy-MM-dd").alias("obs_date")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
+
+
+# --- two nightly runs ----------------------------------------------------------------------------
+_SHOP = "CASE WHEN p_size <= 20 THEN 'sofmap' WHEN p_size <= 45 THEN 'qualit' END"
+
+
+@query("catalogue_two_runs", f"""
+WITH p AS (SELECT *, {_SHOP} AS source, p_size <= 10 AS again FROM part WHERE p_size <= 45)
+SELECT source, 'P' || CAST(p_partkey AS VARCHAR) AS item_code, CASE WHEN again AND p_size % 3 = 0 THEN NULL ELSE p_brand END AS shop_name,
+       source = 'qualit' OR again AS is_active, CASE WHEN again THEN 2 ELSE 1 END::BIGINT AS observations,
+       CASE WHEN again THEN '2026-02-02' ELSE '2026-02-01' END AS last_seen
+FROM p""")
+def catalogue_two_runs(spark, sf_dir):
+    """A6 A7 C5 two runs written and read back: nulls overwrite, unseen products retire, other sources stay, a repeat counts once"""
+    folder = f"{shared_dir(spark)}/two-runs-{uuid.uuid4().hex}"
+    base = table(spark, sf_dir, "part").where("p_size <= 45").selectExpr(
+        "'P' || p_partkey AS itemCode", "p_name AS itemName", "'https://s/' || p_partkey AS itemUrl", "CAST(p_retailprice AS BIGINT) AS itemPrice",
+        "p_brand AS shopName", "'q' AS search_query", "true AS is_active", "p_size", f"{_SHOP} AS shop")
+
+    def of(source, rows):
+        return rows.where(F.col("shop") == source).drop("shop", "p_size")
+    jobs.nightly_run(spark, {"sofmap": of("sofmap", base), "qualit": of("qualit", base)}, f"{folder}/products", f"{folder}/history", dt.datetime(2026, 2, 1))
+    second = base.where("p_size <= 10").withColumn("shopName", F.when(F.col("p_size") % 3 != 0, F.col("shopName")))
+    for _ in range(2):
+        jobs.nightly_run(spark, {"sofmap": of("sofmap", second)}, f"{folder}/products", f"{folder}/history", dt.datetime(2026, 2, 2), run_id="second")
+    seen = sinks.read_history(spark, f"{folder}/history").groupBy("source", "item_code").agg(F.count(F.lit(1)).alias("observations"))
+    products = sinks.Snapshots(spark, f"{folder}/products").read(jobs.CATALOGUE)
+    return products.join(seen, ["source", "item_code"]).select(
+        "source", "item_code", "shop_name", "is_active", "observations", F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen"))
+
+
+# --- typing and contract of what was fetched ---------------------------------------------------------
+@query("coerce_fetched", """
+SELECT l_orderkey AS order_key, l_linenumber AS line_number, CASE WHEN l_linenumber % 3 <> 1 THEN CAST(floor(l_extendedprice) AS BIGINT) END AS price,
+       CASE WHEN l_linenumber % 4 <> 2 THEN strftime(date_trunc('day', CAST(l_shipdate AS TIMESTAMP)) + INTERVAL 3 HOUR, '%Y-%m-%d %H:%M') END AS seen,
+       CASE WHEN l_linenumber % 2 = 0 THEN true END AS active
+FROM lineitem""")
+def coerce_fetched(spark, sf_dir):
+    """B16 strings to types; bad ones become null, stamps with an offset become instants"""
+    raw = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS order_key", "l_linenumber AS line_number",
+        "CASE WHEN l_linenumber % 3 = 1 THEN '12 yen' ELSE CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) END AS price",
+        "CASE WHEN l_linenumber % 4 = 2 THEN 'soon' ELSE date_format(l_shipdate, 'yyyy-MM-dd') || 'T12:00:00+09:00' END AS scraped_at",
+        "CASE WHEN l_linenumber % 2 = 0 THEN 'true' ELSE 'perhaps' END AS is_active")
+    typed = facts_op.coerce(raw, active="is_active")
+    return typed.select("order_key", "line_number", "price", F.date_format("scraped_at", "yyyy-MM-dd HH:mm").alias("seen"), F.col("is_active").alias("active"))
+
+
+@query("contract_without_url", """
+SELECT p_brand AS source, count(*) AS listings, count(*) AS null_url, 0::BIGINT AS url_not_https, count(*) FILTER (WHERE p_size = 1) AS null_code
+FROM part GROUP BY p_brand""")
+def contract_without_url(spark, sf_dir):
+    """B18 listings of a shop without links break the rule for it in every row"""
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "CASE WHEN p_size <> 1 THEN p_name END AS itemCode", "p_name AS itemName", "1L AS itemPrice", "p_brand AS source", "'q' AS search_query",
+        "true AS is_active", "'2026-02-21T10:00:00+09:00' AS scraped_at", "p_type AS shopName")
+    return catalog.contract_report(rows).select("source", "listings", F.col("null_itemUrl").alias("null_url"), "url_not_https", F.col("null_itemCode").alias("null_code"))

@@ -301,7 +301,7 @@ SELECT search_query, landed AS pages_landed, CAST(hits AS BIGINT) AS hits_announ
        CAST(greatest(ceil(hits / 30.0) - landed, 0) AS BIGINT) AS pages_missing
 FROM s""")
 def crawl_coverage(spark, sf_dir):
-    """P9 F7"""
+    """P9"""
     rows = _pages(spark, sf_dir, _P2, '<ul class="sys-display-item">', "</ul>")
     total = F.concat(F.lit('<span class="sys-total">'), F.format_number(F.col("page_id") * 40, 0), F.lit("</span>"))
     pages = rows.select(F.concat(F.lit("q"), (F.col("page_id") % 3).cast("string")).alias("search_query"),

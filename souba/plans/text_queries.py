@@ -127,15 +127,19 @@ def fill_rates(spark, sf_dir):
     return rates.withColumn("fill_rate", F.round("fill_rate", 6))
 
 
+_WITH_SPECS = ("coalesce(text, '') || CASE WHEN doc_id % 4 = 1 THEN ' 8th gen' ELSE '' END || CASE WHEN doc_id % 5 = 2 THEN ' 13.3-inch' ELSE '' END"
+               " || CASE WHEN doc_id % 3 = 0 THEN ' bluetooth' ELSE '' END")
+
+
 @query("extract_specs_documents", r"""
 SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)Bluetooth') THEN '搭載' END AS bluetooth,
        nullif(regexp_extract(text, '(?i)(\d+)(?:st|nd|rd|th)\s*gen', 1), '') AS gen_english,
        nullif(regexp_extract(text, '(?i)(\d+(?:\.\d+)?)-inch', 1), '') AS inches
-FROM documents""")
+FROM (SELECT doc_id, """ + _WITH_SPECS + r""" AS text FROM documents)""")
 def extract_specs_documents(spark, sf_dir):
-    """H6 H9 H10 single extractors over whole free-text documents."""
+    """H6 H9 H10 single extractors over whole free-text documents, to which spec words are added now and then."""
     body = text.to_half_width(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_WITH_SPECS} AS text").select(
         "doc_id", specs.bluetooth(body).alias("bluetooth"),
         text.first_match(body, fv.GENERATION_ENGLISH, flags=text.ANY_CASE).alias("gen_english"),
         text.first_match(body, fv.DISPLAY[2], flags=text.ANY_CASE).alias("inches"))
