@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BITS = 26                # of a bitmap's size in bits: 8 MiB, however large the input
 
@@ -26,3 +29,21 @@ def assembled(rows, names: list[str], bits: int) -> list[np.ndarray]:
         for bitmap, name in zip(out, names):
             bitmap[row["bucket"] * step:(row["bucket"] + 1) * step] = np.frombuffer(row[name], dtype=np.uint8)
     return out
+
+
+def place(column: str | Column) -> Column:
+    """A key's place in a bitmap of 2^BITS."""
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - BITS)
+
+
+def of_keys(keys: DataFrame, column: str) -> np.ndarray:
+    """Bitmap of the keys' places, packed on the executors in slices of 8 KiB."""
+    def pack(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 16, dtype=np.uint8)
+        bits[table.column("at").to_numpy()] = 1
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+    places = keys.select(place(column).alias("bit")).distinct().select(F.shiftright("bit", 16).alias("part"), F.col("bit").bitwiseAND(0xFFFF).alias("at"))
+    out = np.zeros(1 << BITS >> 3, dtype=np.uint8)
+    for row in places.groupBy("part").applyInArrow(pack, "part bigint, bits binary").collect():
+        out[row["part"] << 13:row["part"] + 1 << 13] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out

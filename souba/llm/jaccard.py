@@ -2,18 +2,22 @@
 
 A document is the set of its distinct 5-word shingles, hashed to 64 bits. Documents of equal sets form one class with
 one representative. First, near copies are collapsed: representatives that agree in a pair of minimum hashes are
-compared with the smallest of them, and verified links make groups. Then the join proper finds every link between
-different groups:
+compared with the most central of them, the one whose minimum hashes most others share, and verified links make
+groups. Then the join proper finds every link between different groups:
 
-* all shingles have one global order by class: private ones (of one group only), rare ones, unclassed ones, frequent
-  ones (of many groups), each by hash;
+* all shingles have one global order by class: private ones (of one group only), rare ones, frequent ones (of many
+  groups), each by hash;
 * a set's prefix is long enough that two similar sets must share in it a shingle that is not frequent, or K frequent
   ones: it is extended by K - 1 when it reaches frequent shingles;
 * rare shingles of a prefix are index keys one by one, frequent ones as combinations of K; private ones need no key;
 * documents of different groups with a key in common, and of fitting sizes, are verified on their whole sets.
 
+Two documents compared with the same centre need no keys: what each shares with the centre, and how many of its other
+shingles are not private, bounds what they can share with each other; only pairs within that bound are verified. This
+keeps the members of a large group of loose copies, too far apart to link, from meeting in every shingle they share.
+
 Any classing of shingles gives the same result, so classes come from bitmaps of fixed size: hash collisions, and a
-table that outgrows them, cost time but no link. Only the half of all shingles with the lower hashes is classed.
+table that outgrows them, cost time but no link.
 """
 
 from __future__ import annotations
@@ -34,7 +38,8 @@ from souba.llm.components import components
 WORDS = 5                # in a shingle
 K = 2                    # frequent shingles in a combination
 FREQUENT = 16            # groups a shingle is in, to be frequent
-BANDS = 6                # pairs of minimum hashes near copies are collapsed by
+BANDS = 8                # pairs of minimum hashes near copies are collapsed by
+CODE_BITS = 24           # that tell shingles of one bucket apart, to class them
 FLUSH = 2_000_000        # shingles a task holds before it passes them on
 _MULTIPLIERS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 2 * BANDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -97,24 +102,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(bands, pa.list_(pa.int64()))], names=["key", "n", "high", "low", "bands"])
 
 
-def _bit(column: str | Column) -> Column:
-    """A key's place in a bitmap of 2^bitmaps.BITS."""
-    return F.shiftrightunsigned(F.xxhash64(column), 64 - bitmaps.BITS)
-
-
-def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """Bitmap of the keys' places, packed on the executors in slices of 8 KiB."""
-    def pack(table: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << 16, dtype=np.uint8)
-        bits[table.column("at").to_numpy()] = 1
-        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-    places = keys.select(_bit(column).alias("bit")).distinct().select(F.shiftright("bit", 16).alias("part"), F.col("bit").bitwiseAND(0xFFFF).alias("at"))
-    out = np.zeros(1 << bitmaps.BITS >> 3, dtype=np.uint8)
-    for row in places.groupBy("part").applyInArrow(pack, "part bigint, bits binary").toLocalIterator():
-        out[row["part"] << 13:row["part"] + 1 << 13] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return out
-
-
 def _sets(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, bitmap = _WordHashes(), shared.value
@@ -127,47 +114,56 @@ def _sets(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     return build
 
 
-def _similar(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for one, other in zip(batch.column("one"), batch.column("other")):
-                a, b = np.frombuffer(one.as_buffer(), dtype=np.uint64), np.frombuffer(other.as_buffer(), dtype=np.uint64)
-                both = np.concatenate([a, b])
-                both.sort(kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return check
-
-
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose whole sets are similar; sets are built only for documents that may be in a pair."""
+def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts, ones, others = [], [], []
+        for one, other in zip(batch.column("one"), batch.column("other")):
+            a, b = np.frombuffer(one.as_buffer(), dtype=np.uint64), np.frombuffer(other.as_buffer(), dtype=np.uint64)
+            both = np.concatenate([a, b])
+            both.sort(kind="stable")
+            counts.append(int(np.count_nonzero(both[1:] == both[:-1])))
+            ones.append(len(a))
+            others.append(len(b))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(x, pa.int64()) for x in (counts, ones, others))],
+                                         names=["a", "b", "shared", "n_a", "n_b"])
+
+
+def overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) with what their whole sets share and their sizes (``shared``, ``n_a``, ``n_b``); sets are
+    built only for documents that may be in a pair."""
     spark = docs.sparkSession
     ids = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
-    shared = spark.sparkContext.broadcast(_bitmap(ids, "key"))     # a fixed size
+    shared = spark.sparkContext.broadcast(bitmaps.of_keys(ids, "key"))     # a fixed size
     kind = docs.schema["_key"].dataType
-    sets = _mapped(docs.withColumn("_place", _bit("_key")), _sets(shared), StructType([StructField("key", kind), *StructType.fromDDL("set binary").fields]))
+    sets = _mapped(docs.withColumn("_place", bitmaps.place("_key")), _sets(shared), StructType([StructField("key", kind), *StructType.fromDDL("set binary").fields]))
     sets = sets.dropDuplicates(["key"])
     joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("one")), "a").join(
         sets.select(F.col("key").alias("b"), F.col("set").alias("other")), "b")
-    return _mapped(joined.select("a", "b", "one", "other"), _similar(percent), StructType([StructField("a", kind), StructField("b", kind)]))
+    schema = StructType([StructField("a", kind), StructField("b", kind), *StructType.fromDDL("shared bigint, n_a bigint, n_b bigint").fields])
+    return _mapped(joined.select("a", "b", "one", "other"), _share, schema)
+
+
+def similar(compared: DataFrame, percent: int) -> DataFrame:
+    """The links among compared pairs."""
+    return compared.filter(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent).select("a", "b")
 
 
 def _count(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (bucket, shingles, place of each one's group, groups) of the lower half of all shingles."""
+    """Rows (bucket, shingles in three bytes each, place of each one's group, groups)."""
     def emit(held: list[np.ndarray], groups: list[int]) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate(held)
         whose = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])
-        bucket = (tokens >> np.uint64(63 - bits)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        code = (tokens >> np.uint64(63 - bits - 32)).astype(np.uint32)[order]
+        bucket = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
+        code = (tokens >> np.uint64(64 - bits - CODE_BITS)).astype(np.uint32)[order]
         starts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-        whose, named = whose[order], np.array(groups, dtype=np.int64).tobytes()
+        whose, named = whose[order], np.array(groups, dtype=np.int64)
         for b in np.flatnonzero(np.diff(starts)):
             part = slice(starts[b], starts[b + 1])
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([code[part].tobytes()], pa.binary()),
-                                              pa.array([whose[part].tobytes()], pa.binary()), pa.array([named], pa.binary())],
+            used, place = np.unique(whose[part], return_inverse=True)
+            three = code[part].view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([three], pa.binary()),
+                                              pa.array([place.astype(np.uint16).tobytes()], pa.binary()), pa.array([named[used].tobytes()], pa.binary())],
                                              names=["bucket", "codes", "whose", "groups"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +171,6 @@ def _count(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         for batch in batches:
             for text, group in zip(batch.column("_text"), batch.column("_group").to_pylist()):
                 s = shingles(text.as_py(), cache)
-                s = s[:np.searchsorted(s, np.uint64(1 << 63))]
                 if len(s):
                     held.append(s)
                     groups.append(group)
@@ -193,7 +188,8 @@ def _classes(bits: int) -> Callable[[pa.Table], pa.Table]:
     def classify(table: pa.Table) -> pa.Table:
         codes, groups = [], []
         for code, whose, named in zip(*(table.column(c) for c in ("codes", "whose", "groups"))):
-            codes.append(np.frombuffer(code.as_buffer(), dtype=np.uint32))
+            three = np.frombuffer(code.as_buffer(), dtype=np.uint8).reshape(-1, 3)
+            codes.append(np.pad(three, ((0, 0), (0, 1))).view(np.uint32).ravel())
             groups.append(np.frombuffer(named.as_buffer(), dtype=np.int64)[np.frombuffer(whose.as_buffer(), dtype=np.uint16)])
         code, group = np.concatenate(codes), np.concatenate(groups)
         order = np.lexsort((group, code))
@@ -202,7 +198,7 @@ def _classes(bits: int) -> Callable[[pa.Table], pa.Table]:
         fresh = first | np.concatenate([[True], group[1:] != group[:-1]])
         starts = np.flatnonzero(first)
         n_groups = np.add.reduceat(fresh.astype(np.int64), starts)
-        place = (code[starts] >> np.uint32(32 + bits - bitmaps.BITS)).astype(np.int64)
+        place = (code[starts] >> np.uint32(CODE_BITS + bits - bitmaps.BITS)).astype(np.int64)
         slices = []
         for least in (2, FREQUENT):
             slices.append(pa.array([bitmaps.packed(place[n_groups >= least], bitmaps.BITS - bits)], pa.binary()))
@@ -212,24 +208,25 @@ def _classes(bits: int) -> Callable[[pa.Table], pa.Table]:
 
 def shingle_classes(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Bitmaps of the shingles that several groups have, and of those that many have (``docs``: _text, _group)."""
-    bits = max(6, min(bitmaps.BITS - 3, (total >> 20).bit_length()))     # about half a million classed shingles a bucket
+    bits = max(6, min(bitmaps.BITS - 3, (total >> 21).bit_length()))     # one or two million shingles a bucket
     rows = _mapped(docs.select("_text", "_group"), _count(bits), "bucket bigint, codes binary, whose binary, groups binary")
     found = rows.groupBy("bucket").applyInArrow(_classes(bits), "bucket bigint, shared binary, frequent binary")
-    shared, frequent = bitmaps.assembled(found.toLocalIterator(), ["shared", "frequent"], bits)
+    shared, frequent = bitmaps.assembled(found.collect(), ["shared", "frequent"], bits)
     return shared, frequent
 
 
-def index_keys(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The index keys of one set (see the module's text)."""
-    place = (tokens >> np.uint64(63 - bitmaps.BITS)).astype(np.int64)
-    classed = tokens < np.uint64(1 << 63)
-    place[~classed] = 0
-    often = classed & bitmaps.has(frequent, place)
-    rank = np.where(often, 3, np.where(~classed, 2, np.where(bitmaps.has(shared, place), 1, 0)))
-    order = np.argsort(rank, kind="stable")       # tokens are sorted by hash already
+def classed(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The class of each shingle: 0 private, 1 rare, 2 frequent."""
+    place = (tokens >> np.uint64(64 - bitmaps.BITS)).astype(np.int64)
+    return bitmaps.has(shared, place).astype(np.int8) + bitmaps.has(frequent, place)
+
+
+def index_keys(tokens: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """The index keys of one set (see the module's text) from its sorted shingles and their classes."""
+    order = np.argsort(rank, kind="stable")
     rank, tokens = rank[order], tokens[order]
     needed = len(tokens) - least_overlap(len(tokens), percent) + 1
-    plain = int(np.searchsorted(rank, 3))
+    plain = int(np.searchsorted(rank, 2))
     if plain >= needed:
         return tokens[:needed][rank[:needed] > 0]
     combined = tokens[plain:needed + K - 1]
@@ -238,18 +235,21 @@ def index_keys(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray, per
 
 
 def _postings(shared, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each index key of a document, and one without a key; ``open`` is the number of its shared shingles."""
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, (several, many) = _WordHashes(), shared.value
         for batch in batches:
             for i, text in enumerate(batch.column("_text")):
                 s = shingles(text.as_py(), cache)
-                keys = index_keys(s, several, many, percent) if len(s) else s
-                for at in range(0, len(keys), 100_000):
-                    part = keys[at:at + 100_000]
+                rank = classed(s, several, many)
+                keys = index_keys(s, rank, percent).view(np.int64) if len(s) else s.view(np.int64)
+                for at in range(0, len(keys) + 1, 100_000):
+                    part = pa.array([None] * (at == 0) + keys[at:at + 100_000].tolist(), pa.int64())
                     again = pa.array(np.full(len(part), i))
-                    yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), batch.column("_key").take(again),
-                                                      batch.column("_group").take(again), pa.array(np.full(len(part), len(s)), pa.int64())],
-                                                     names=["token", "key", "group", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [part, *(batch.column(c).take(again) for c in ("_key", "_group", "_ref")),
+                         pa.array(np.full(len(part), len(s)), pa.int64()), pa.array(np.full(len(part), np.count_nonzero(rank)), pa.int64())],
+                        names=["token", "key", "group", "ref", "n", "open"])
     return post
 
 
@@ -258,20 +258,42 @@ def _fits(a: str, b: str, percent: int) -> Column:
 
 
 def star_pairs(reps: DataFrame, percent: int) -> DataFrame:
-    """Each representative beside the smallest one it shares a band with."""
+    """Each representative ``b`` beside the most central one ``a`` of each band it is in; ``weight`` says how central.
+
+    A representative is as central as its bands are large. The centre of a band stands beside itself as well.
+    """
     banded = reps.select("key", "n", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("many")).filter("many > 1").drop("many")
-    near = banded.join(heads, "band").select("key", "n", F.col("head.key").alias("a"), F.col("head.n").alias("m"))
-    return near.filter((F.col("key") > F.col("a")) & _fits("n", "m", percent)).select("a", F.col("key").alias("b")).distinct()
+    large = banded.groupBy("band").agg(F.count("*").alias("many")).filter("many > 1")
+    banded = written(banded.join(large, "band"), "bands")
+    weighed = banded.groupBy("key").agg(F.sum("many").alias("weight"))
+    banded = banded.join(weighed, "key")
+    heads = banded.groupBy("band").agg(F.min(F.struct(-F.col("weight"), F.col("key"), F.col("n"))).alias("head"))
+    heads = heads.select("band", F.col("head.key").alias("a"), F.col("head.n").alias("m"), (-F.col("head.col1")).alias("top"))
+    near = banded.join(heads, "band").filter(_fits("n", "m", percent))
+    return near.groupBy("a", F.col("key").alias("b")).agg(F.max("top").alias("weight"))
+
 
+def cross_pairs(keyed: DataFrame, centred: DataFrame, percent: int) -> DataFrame:
+    """Pairs of documents of different groups that may be similar: with an index key in common, or near one centre.
 
-def cross_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents of different groups with an index key in common."""
-    mixed = postings.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("token")
-    useful = postings.join(mixed, "token", "left_semi")
-    one, other = (useful.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("key", "group", "n")]) for s in "12")
-    joined = one.join(other, "token").filter((F.col("group1") < F.col("group2")) & _fits("n1", "n2", percent))
-    return joined.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct()
+    ``keyed`` has a row per index key; ``centred`` a row per document with a centre, what it shares with it
+    (``overlap``) and the most it may share with other groups beside (``other``).
+    """
+    mixed = keyed.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("token")
+    useful = keyed.join(mixed, "token", "left_semi")
+
+    def sides(df: DataFrame, by: str, *names: str) -> tuple[DataFrame, DataFrame]:
+        one, two = (df.select(by, *[F.col(c).alias(f"{c}{s}") for c in names]) for s in "12")
+        return one, two
+    one, two = sides(useful, "token", "key", "group", "n", "ref")
+    apart = (F.col("group1") < F.col("group2")) & _fits("n1", "n2", percent)
+    far = one.join(two, "token").filter(apart & ~F.coalesce(F.col("ref1") == F.col("ref2"), F.lit(False)))
+    several = centred.groupBy("ref").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("ref")
+    one, two = sides(centred.join(several, "ref", "left_semi"), "ref", "key", "group", "n", "overlap", "other")
+    most = F.least("overlap1", "overlap2") + F.least("other1", "other2")
+    near = one.join(two, "ref").filter(apart & (most * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent))
+    return far.select("key1", "key2").union(near.select("key1", "key2")).select(
+        F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -290,18 +312,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     reps = written(classes.select("rep.*").groupBy("key").agg(F.max("n").alias("n"), F.flatten(F.collect_list("bands")).alias("bands")), "representatives")
     known = named.filter("_key is not null")
     copies = full.join(classes.select("high", "low", F.col("rep.key").alias("a")), ["high", "low"]).select("a", F.col("key").alias("b")).filter("a <> b")
-    near = written(verified(written(star_pairs(reps, percent), "starpairs"), known, percent), "starlinks")
-    groups = components(near)
-    placed = written(reps.join(groups.withColumnRenamed("node", "key"), "key", "left").select(
-        "key", "n", F.coalesce("component", "key").alias("component")), "groups")
-    grouped = known.join(placed.select(F.col("key").alias("_key"), F.xxhash64("component").alias("_group")), "_key")
+    stars = written(star_pairs(reps, percent), "starpairs")
+    compared = written(overlaps(stars.filter("a <> b").select("a", "b"), known), "compared")
+    near = similar(compared, percent)
+    groups = written(components(near), "groups")
+    # the most central one a document was compared with, and what it shares with it
+    centres = compared.select("a", "b", "shared").join(stars, ["a", "b"]).union(
+        stars.filter("a = b").join(reps.select(F.col("key").alias("a"), F.col("n").alias("shared")), "a").select("a", "b", "shared", "weight"))
+    centres = centres.groupBy("b").agg(F.max(F.struct("weight", "a", "shared")).alias("c")).select(
+        F.col("b").alias("key"), F.col("c.a").alias("ref"), F.col("c.shared").alias("overlap"))
+    member = groups.select(F.col("node").alias("key"), "component")
+    placed = reps.select("key", "n").join(member, "key", "left").join(centres, "key", "left").join(
+        groups.select(F.col("node").alias("ref"), F.col("component").alias("ref_component")), "ref", "left")
+    placed = written(placed.select("key", "n", "overlap", F.when(F.col("ref").isNotNull(), F.xxhash64("ref")).alias("ref"),
+                                   F.xxhash64(F.coalesce("component", "key")).alias("group"),
+                                   F.when(F.col("ref").isNotNull(), F.xxhash64(F.coalesce("ref_component", "ref"))).alias("ref_group")), "placed")
+    grouped = known.join(placed.select(F.col("key").alias("_key"), F.col("group").alias("_group"), F.col("ref").alias("_ref")), "_key")
     grouped = written(grouped, "grouped")
     spark: SparkSession = docs.sparkSession
-    classed = spark.sparkContext.broadcast(shingle_classes(grouped, placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))   # a fixed size
-    posted = _mapped(grouped, _postings(classed, percent), StructType([*StructType.fromDDL("token bigint").fields, StructField("key", kind),
-                                                                      *StructType.fromDDL("group bigint, n bigint").fields]))
-    pairs = written(cross_pairs(written(posted, "postings"), percent), "crosspairs")
-    far = verified(pairs, known, percent)
+    classes_ = spark.sparkContext.broadcast(shingle_classes(grouped, placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))   # a fixed size
+    posted = _mapped(grouped, _postings(classes_, percent), StructType([
+        *StructType.fromDDL("token bigint").fields, StructField("key", kind), *StructType.fromDDL("group bigint, ref bigint, n bigint, open bigint").fields]))
+    posted = written(posted, "postings")
+    own = posted.filter("token is null").drop("token")
+    # Shingles a document has beside the centre's and may share with other groups. If the centre is of another group,
+    # none it shares with the centre is private: all others that are not. If it is of the same group, some it shares
+    # with the centre may be private, but no more than the centre has.
+    centres = own.select(F.xxhash64("key").alias("ref"), (F.col("n") - F.col("open")).alias("private"))
+    centred = own.filter("ref is not null").join(placed.select("key", "overlap", (F.col("group") != F.col("ref_group")).alias("outside")), "key").join(centres, "ref")
+    free = F.col("open") - F.col("overlap")
+    centred = centred.withColumn("other", F.when(F.col("outside"), free).otherwise(F.least(F.col("n") - F.col("overlap"), free + F.col("private"))))
+    pairs = written(cross_pairs(posted.filter("token is not null"), centred, percent), "crosspairs")
+    far = similar(overlaps(pairs, known), percent)
     linked = components(near.union(far).union(copies))
     out = signed.join(linked.withColumnRenamed("node", "key"), "key", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
