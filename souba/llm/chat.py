@@ -51,7 +51,8 @@ def schema_paths(record: Column) -> Column:
 
 def schema_fingerprint(record: Column) -> Column:
     """Hash of the nested field paths; null for what is no JSON."""
-    return F.xxhash64(schema_paths(record)) if record is None else F.when(schema_paths(record).isNotNull(), F.xxhash64(schema_paths(record)))
+    paths = schema_paths(record)
+    return F.when(paths.isNotNull(), F.xxhash64(paths))
 
 
 def _turns(layout: Layout, record: Column) -> Column:

@@ -168,7 +168,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def item_slices(items: DataFrame, item_id: str, text: str, slice_words: int) -> Iterator[list[tuple[str, str]]]:
     """The test items in slices of about ``slice_words`` words, read by the driver one partition at a time."""
     held, size = [], 0
-    for row in items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).filter("t is not null").distinct().toLocalIterator():
+    for row in items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).filter("t is not null").distinct().coalesce(16).toLocalIterator():
         n = len(words_of(row["t"]))
         if n:
             held.append((row["i"], row["t"]))
