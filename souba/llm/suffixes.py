@@ -124,7 +124,7 @@ def anchor_classes(docs: DataFrame, total_bytes: int) -> tuple[np.ndarray, np.nd
     bits = max(6, min(bitmaps.BITS - 3, (total_bytes >> 26).bit_length()))
     rows = docs.select("_text").mapInArrow(_anchor_codes(bits), "bucket bigint, codes binary, counts binary")
     found = rows.groupBy("bucket").applyInArrow(_anchor_classes(bits), "bucket bigint, repeated binary, frequent binary")
-    repeated, frequent = bitmaps.assembled(found.toLocalIterator(), ["repeated", "frequent"], bits)
+    repeated, frequent = bitmaps.assembled(found.collect(), ["repeated", "frequent"], bits)
     return repeated, frequent
 
 
@@ -147,9 +147,13 @@ def contexts(raw: np.ndarray, repeated: np.ndarray, frequent: np.ndarray) -> Ite
             yield int(least[a] & ~_TOP), a, b - a, many or e - s > MAX_STARTS
 
 
+def _known(t1: int, start: int) -> bytes:
+    """What a context is asked for by: one number of its text's digest and start, as Spark's xxhash64 hashes it."""
+    return ((t1 ^ start << 36) & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
+
+
 def _context_rows(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["anchor", "c1", "c2", "t1", "t2", "start", "starts", "many"]
-    schema = pa.schema([(n, pa.int64()) for n in names[:5]] + [("start", pa.int32()), ("starts", pa.int32()), ("many", pa.bool_())])
+    schema = pa.schema([(n, pa.int64()) for n in ("anchor", "content", "t1", "t2")] + [("start", pa.int32()), ("starts", pa.int32()), ("many", pa.bool_())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, frequent = shared.value
@@ -157,13 +161,9 @@ def _context_rows(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             rows = []
             for text, t1, t2 in zip(*(batch.column(c) for c in ("_text", "_t1", "_t2"))):
                 raw = _raw(text.as_py())
-                if len(raw) < LENGTH:
-                    continue
                 t1, t2, whole = t1.as_py(), t2.as_py(), raw.tobytes()
                 for anchor, start, starts, many in contexts(raw, repeated, frequent):
-                    digest = xxhash.xxh3_128_digest(whole[start:start + starts - 1 + LENGTH])
-                    rows.append((anchor, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True),
-                                 t1, t2, start, starts, many))
+                    rows.append((anchor, _content(whole, start, starts), t1, t2, start, starts, many))
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                     rows = []
@@ -172,19 +172,29 @@ def _context_rows(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return scan
 
 
-_CONTEXT_SCHEMA = "anchor bigint, c1 bigint, c2 bigint, t1 bigint, t2 bigint, start int, starts int, many boolean"
+def _content(whole: bytes, start: int, starts: int) -> int:
+    """64-bit hash of a context's bytes; beside its anchor's 63 bits it tells contexts apart."""
+    value = xxhash.xxh3_64_intdigest(whole[start:start + starts - 1 + LENGTH])
+    return value - (1 << 64) if value >> 63 else value
 
 
-def _context_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the contexts that a text has to show (``_wanted``: anchor, c1, c2, start, starts)."""
-    for batch in batches:
-        rows = []
-        for text, wanted in zip(batch.column("_text"), batch.column("_wanted")):
-            whole = _raw(text.as_py()).tobytes()
-            rows += [(w["anchor"], w["c1"], w["c2"], w["crowd"], whole[w["start"]:w["start"] + w["starts"] - 1 + LENGTH]) for w in wanted.as_py()]
-        if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["anchor", "c1", "c2", "crowd", "bytes"])
+def _context_bytes(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The bytes of the contexts that are asked for, and now and then of another."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated, frequent, asked = shared.value
+        for batch in batches:
+            rows = []
+            for text, t1 in zip(batch.column("_text"), batch.column("_t1").to_pylist()):
+                raw = _raw(text.as_py())
+                whole, found = raw.tobytes(), list(contexts(raw, repeated, frequent))
+                places = np.array([xxhash.xxh64_intdigest(_known(t1, c[1]), seed=42) >> 64 - bitmaps.BITS for c in found], dtype=np.int64)
+                for k in np.flatnonzero(bitmaps.has(asked, places)):
+                    anchor, start, starts, _ = found[k]
+                    rows.append((anchor, _content(whole, start, starts), whole[start:start + starts - 1 + LENGTH]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))],
+                                                 names=["anchor", "content", "bytes"])
+    return scan
 
 
 def interleave(shards: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,20 +256,20 @@ def covered(starts: np.ndarray, length: int = LENGTH) -> list[int]:
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covered bytes of contexts; rows come sorted by anchor and whole anchors are merged at once."""
-    held: list[tuple[int, int, int, bytes]] = []
+    held: list[tuple[int, int, bytes]] = []
     size = 0
 
-    def flush(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        spans = [covered(s) for s in repeated_starts([r[3] for r in rows])]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)] + [pa.array(spans, pa.list_(pa.int32()))],
-                                          names=["anchor", "c1", "c2", "spans"])
+    def flush(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        spans = [covered(s) for s in repeated_starts([r[2] for r in rows])]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)] + [pa.array(spans, pa.list_(pa.int32()))],
+                                          names=["anchor", "content", "spans"])
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "c1", "c2", "bytes"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "bytes"))):
             if size >= MERGE_BYTES and row[0] != held[-1][0]:
                 yield flush(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[3])
+            size += len(row[2])
     if held:
         yield flush(held)
 
@@ -267,21 +277,21 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every string of a context by its hash."""
     for batch in batches:
-        for anchor, c1, c2, whole in zip(*(batch.column(c).to_pylist() for c in ("anchor", "c1", "c2", "bytes"))):
+        for anchor, content, whole in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "bytes"))):
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[i:i + LENGTH]) for i in range(len(whole) - LENGTH + 1)), dtype=np.int64).reshape(-1, 2)
             n = len(digests)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x), pa.int64()) for x in (anchor, c1, c2)] + [
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x), pa.int64()) for x in (anchor, content)] + [
                 pa.array(np.arange(n, dtype=np.int32)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())],
-                names=["anchor", "c1", "c2", "at", "h1", "h2"])
+                names=["anchor", "content", "at", "h1", "h2"])
 
 
 def _crowded(crowd: DataFrame) -> DataFrame:
     """Covered bytes of the contexts of crowded anchors, string by string."""
-    strings = crowd.mapInArrow(_string_hashes, "anchor bigint, c1 bigint, c2 bigint, at int, h1 bigint, h2 bigint")
+    strings = crowd.mapInArrow(_string_hashes, "anchor bigint, content bigint, at int, h1 bigint, h2 bigint")
     twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     marked = strings.join(twice, ["h1", "h2"], "left_semi")
     span = F.array(F.col("at"), F.col("at") + LENGTH)
-    return marked.groupBy("anchor", "c1", "c2").agg(F.flatten(F.collect_list(span)).alias("spans"))
+    return marked.groupBy("anchor", "content").agg(F.flatten(F.collect_list(span)).alias("spans"))
 
 
 def joined_spans(spans: list[int]) -> list[tuple[int, int]]:
@@ -332,21 +342,23 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: bool = False) -> D
                       halves[0].alias("_t1"), halves[1].alias("_t2"))
     long = own.select("_text", "_t1", "_t2").filter(F.octet_length("_text") >= LENGTH)
     size = long.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    shared = docs.sparkSession.sparkContext.broadcast(anchor_classes(long, size))      # a fixed size
-    found = written(long.mapInArrow(_context_rows(shared), _CONTEXT_SCHEMA), "contexts")
-    name = ["anchor", "c1", "c2"]
-    kinds = found.groupBy(*name).agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min(F.struct("t1", "t2", "start", "starts")).alias("at"))
+    context = docs.sparkSession.sparkContext
+    classes = anchor_classes(long, size)
+    schema = "anchor bigint, content bigint, t1 bigint, t2 bigint, start int, starts int, many boolean"
+    found = written(long.mapInArrow(_context_rows(context.broadcast(classes)), schema), "contexts")      # classes have a fixed size
+    name = ["anchor", "content"]
+    kinds = found.groupBy(*name).agg(F.count("*").alias("n"), F.max("many").alias("many"), F.max("starts").alias("starts"), F.min(F.struct("t1", "start")).alias("at"))
     kinds = written(kinds, "kinds")
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("d"), F.max("many").alias("many"), F.min("n").alias("n")).filter("n = 1 and (d > 1 or many)")
-    compared = kinds.drop("many").join(open_.select("anchor", (F.col("d") > MAX_CONTEXTS).alias("crowd")), "anchor")
-    asked = compared.groupBy(F.col("at.t1").alias("_t1"), F.col("at.t2").alias("_t2")).agg(
-        F.collect_list(F.struct(*name, "crowd", F.col("at.start").alias("start"), F.col("at.starts").alias("starts"))).alias("_wanted"))
-    shown = long.join(asked, ["_t1", "_t2"]).select("_text", "_wanted").mapInArrow(_context_bytes, "anchor bigint, c1 bigint, c2 bigint, crowd boolean, bytes binary")
-    shown = written(shown.dropDuplicates(name), "shown")
+    compared = written(kinds.select(*name, "at").join(open_.select("anchor", (F.col("d") > MAX_CONTEXTS).alias("crowd")), "anchor"), "compared")
+    number = F.col("at.t1").bitwiseXOR(F.shiftleft(F.col("at.start").cast("bigint"), 36))
+    asked = bitmaps.of_keys(compared.select(number.alias("number")), "number")
+    shown = long.mapInArrow(_context_bytes(context.broadcast((*classes, asked))), "anchor bigint, content bigint, bytes binary")
+    shown = written(shown.dropDuplicates(name).join(compared.drop("at"), name), "shown")
     calm = shown.filter("not crowd").drop("crowd").repartition("anchor").sortWithinPartitions("anchor")
-    spans = calm.mapInArrow(_merge, "anchor bigint, c1 bigint, c2 bigint, spans array<int>").filter("size(spans) > 0")
+    spans = calm.mapInArrow(_merge, "anchor bigint, content bigint, spans array<int>").filter("size(spans) > 0")
     spans = spans.union(_crowded(shown.filter("crowd")).select(*name, "spans"))
-    whole = F.array(F.lit(0), F.col("at.starts") - 1 + LENGTH)
+    whole = F.array(F.lit(0), F.col("starts") - 1 + LENGTH)
     judged = kinds.join(spans, name, "left").select(*name, F.when(F.col("n") > 1, whole).otherwise(F.col("spans")).alias("spans")).filter("spans is not null")
     shifted = F.transform("spans", lambda x: x + F.col("start"))
     hits = found.join(judged, name).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), shifted.alias("s"))
