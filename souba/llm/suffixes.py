@@ -29,7 +29,7 @@ from souba.llm.common import with_columns, written
 
 LENGTH = 200
 PIECE = 16
-FREQUENT = 64            # places at which a piece is an anchor, to be passed over
+FREQUENT = 1024          # places at which a piece is an anchor, to be passed over
 MAX_CONTEXTS = 4096      # of one anchor, merged in one task
 MAX_STARTS = 256         # of one context
 MERGE_BYTES = 1 << 20    # merged at once, at least one anchor
