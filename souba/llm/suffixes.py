@@ -140,7 +140,8 @@ def contexts(raw: np.ndarray, repeated: np.ndarray, frequent: np.ndarray) -> Ite
     wanted = bitmaps.has(repeated, ((least & ~_TOP) >> np.uint64(63 - bitmaps.BITS)).astype(np.int64)) | ((least & ~_TOP) != plain)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     ends = np.append(first[1:], len(least))
-    for s, e in zip(first[wanted[first]].tolist(), ends[wanted[first]].tolist()):
+    wanted = np.logical_or.reduceat(wanted, first)      # the plain anchor changes inside a run, so any of its starts may be wanted
+    for s, e in zip(first[wanted].tolist(), ends[wanted].tolist()):
         for a in range(s, e, MAX_STARTS):
             b = min(e, a + MAX_STARTS)
             many = np.count_nonzero(ranked[a:b + LENGTH - PIECE] == least[a]) > 1

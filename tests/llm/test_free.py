@@ -144,6 +144,19 @@ class TestRepeats:
         got = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(documents(rows)).collect()}
         assert got == set(self.brute(rows))
 
+    def test_a_frequent_piece_after_the_anchor(self, documents, monkeypatch):
+        monkeypatch.setattr(suffixes, "FREQUENT", 3)
+        rng = random.Random(9)
+
+        def noise(n):
+            return "".join(rng.choices("abcdefgh \n", k=n))
+        q, p = sorted((noise(16) for _ in range(100_000)), key=lambda t: int(suffixes.piece_hashes(np.frombuffer(t.encode(), dtype=np.uint8))[0]))[:2]
+        passage = noise(20) + p + noise(90) + q + noise(90)         # every string of the passage with p holds q too
+        rows = [(i, noise(250) + q + noise(250)) for i in range(4)] + [(10, noise(300) + passage), (11, passage + noise(300))]
+        rows += [(i + 30, t) for i, t in self.rows()[:60]]
+        got = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(documents(rows)).collect()}
+        assert got == set(self.brute(rows))
+
     def test_rows_repeated_and_kept_bytes(self, documents):
         rows = [(1, "k" * 10 + "abc" * 100), (1, "k" * 10 + "abc" * 100), (None, "lone text " + "0123456789" * 3)]
         got = suffixes.remove_repeats(documents(rows).withColumn("n_bytes", F.lit(None).cast("string")), keep=True).collect()
