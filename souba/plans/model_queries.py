@@ -13,9 +13,6 @@ from souba.schemas import CATEGORICAL
 from souba.session import shared_dir
 from souba.sources import sinks
 
-# Rounds and depth of the registered runs: a smaller model than the operator's default (300 rounds, depth 6) on all rows.
-TREES, DEPTH = 10, 4
-
 
 @query("training_set", f"""
 SELECT c.id, c.brand, c.cpu_gen, c.memory, c.ssd, c.hdd, c.display_size, c.os, c.source, h.price
@@ -154,7 +151,7 @@ def _fitted(spark, sf_dir):
     path = f"{shared_dir(spark)}/training-{uuid.uuid4().hex}"
     _training_rows(spark, sf_dir).write.parquet(path)
     rows = spark.read.parquet(path)
-    return features.fit_price_model(rows.where("is_train"), max_iter=TREES, maxDepth=DEPTH), rows
+    return features.fit_price_model(rows.where("is_train")), rows
 
 
 @query("ml_train_eval", f"""

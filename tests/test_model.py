@@ -7,6 +7,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from souba.operators import features
+from souba.plans import model_queries
 from souba.schemas import FEATURES
 
 
@@ -83,6 +84,17 @@ def test_fit_save_load_and_score(spark, rows, products, tmp_path):
     assert features.score_active(loaded, products.where("false")).count() == 0
 
 
+def test_registered_training_is_the_operators(spark, monkeypatch):
+    asked, regressor = [], features.price_regressor
+
+    def small(*args, **kwargs):
+        asked.append(regressor(*args, **kwargs))
+        return regressor(1, maxDepth=1)
+    monkeypatch.setattr(features, "price_regressor", small)
+    model_queries._fitted(spark, "/root/testdata/sf0.001")
+    assert [(r.getMaxIter(), r.getMaxDepth()) for r in asked] == [(300, 6)]
+
+
 def test_more_labels_than_bins(products):
     many = products.withColumn("brand", F.concat(F.lit("b"), F.col("id")))
     model = features.fit_price_model(many, max_iter=2, maxDepth=2)
