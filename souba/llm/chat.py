@@ -18,6 +18,8 @@ from souba.llm.common import replaced
 
 END = "</turn>\n"
 TURNS = "array<struct<role:string,text:string>>"
+WHOLE = 16_000_000       # bytes of a record that the JSON parser (20,000,000 characters a text) and a variant (128 MiB) are sure to hold
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
 @dataclass(frozen=True)
@@ -43,10 +45,22 @@ LAYOUTS = (
 )
 
 
+def _skeleton(record: Column) -> Column:
+    """A JSON string with empty texts, and equal flat objects that follow each other once: same field paths, few bytes."""
+    marked = F.regexp_replace(record, rf"(?s)({_STRING}\s*+:)|{_STRING}", "$1\x01")        # a name keeps a mark behind it, a text is one
+    bare = F.replace(F.replace(marked, F.lit(":\x01"), F.lit(":")), F.lit("\x01"), F.lit('""'))
+    return F.regexp_replace(bare, r'(\{\s*+"[^{}\[\]]*+\})(?:\s*+,\s*+\1)++', "$1")
+
+
 def schema_paths(record: Column) -> Column:
-    """The nested field paths of a JSON string as one canonical string: fields sorted, value types left out."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
-    return F.regexp_replace(shape, r"(?<=[:<] ?)(?!OBJECT|ARRAY)[A-Z]+(\(\d+,\d+\))?(?=[,>]|$)", "_")
+    """The nested field paths of a JSON string as one canonical string: fields sorted, value types left out.
+
+    A record of more than WHOLE bytes is read by its skeleton; one whose skeleton is still too long is an error.
+    """
+    told = F.when(F.octet_length(record) > WHOLE, _skeleton(record)).otherwise(record)
+    shape = F.schema_of_variant(F.try_parse_json(told))
+    paths = F.regexp_replace(shape, r"(?<=[:<] ?)(?!OBJECT|ARRAY)[A-Z]+(\(\d+,\d+\))?(?=[,>]|$)", "_")
+    return F.when(shape.isNull() & (F.octet_length(told) > WHOLE), F.raise_error(F.lit("a record is too long to be parsed")).cast("string")).otherwise(paths)
 
 
 def schema_fingerprint(record: Column) -> Column:
@@ -55,13 +69,24 @@ def schema_fingerprint(record: Column) -> Column:
     return F.when(paths.isNotNull(), F.xxhash64(paths))
 
 
+def _at(record: Column, path: str, kind: str) -> Column:
+    """What stands at a path of plain names; records that a variant may not hold are read without its limits, or fail."""
+    names = path.removeprefix("$.").split(".")
+    schema = kind
+    for name in reversed(names):
+        schema = f"struct<`{name}`:{schema}>"
+    read = F.from_json(record, schema, {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)})
+    for name in names:
+        read = read[name]
+    return F.when(F.octet_length(record) > WHOLE, read).otherwise(F.try_variant_get(F.try_parse_json(record), path, kind))
+
+
 def _turns(layout: Layout, record: Column) -> Column:
-    variant = F.try_parse_json(record)
-    fixed = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get(variant, path, "string"), F.lit("")).alias("text"))
+    fixed = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(_at(record, path, "string"), F.lit("")).alias("text"))
                       for role, path in layout.fixed]).cast(TURNS)
     if not layout.list:
         return fixed
-    listed = F.try_variant_get(variant, layout.list, f"array<struct<{layout.role}:string,{layout.text}:string>>")
+    listed = _at(record, layout.list, f"array<struct<{layout.role}:string,{layout.text}:string>>")
     listed = F.transform(listed, lambda t: F.struct(F.coalesce(t[layout.role], F.lit("")).alias("role"),
                                                     F.coalesce(t[layout.text], F.lit("")).alias("text")))
     return F.concat(fixed, listed) if layout.fixed else listed
@@ -71,7 +96,8 @@ def to_turns(records: DataFrame, record: str = "record", layouts: Sequence[Layou
     """``records`` (JSON strings) with ``layout`` and ``turns`` (array of role, text).
 
     The mapping is the one an example of which has the record's fingerprint; a record that fits none, is no JSON or is
-    null has null in both. Null roles and texts become empty strings. Columns named like a result give way.
+    null has null in both. Null roles and texts become empty strings. Columns named like a result give way. Long records
+    are read whole; one of more than WHOLE bytes with a known layout but broken texts is an error.
     """
     spark = records.sparkSession
     examples = [(layout.name, e) for layout in layouts for e in layout.examples]

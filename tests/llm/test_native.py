@@ -129,6 +129,27 @@ class TestChat:
         assert [r["layout"] for r in out[len(records):]] == [None, None, None, None, "messages", "prompt"]
         assert out[-2]["turns"] == [] and out[-1]["turns"][1]["text"] == ""
 
+    def test_long_records_are_read_like_short_ones(self, spark, monkeypatch):
+        records = ['{"messages":[{"role":"user","content":"a"},{"role":"x\\"y","content":"</turn>"},null,{"content":"{\\"b\\":[1,","role":null}]}', '{"prompt":"a:","completion":null}',
+                   '{"dialog" : {"turns":[{"speaker":"a","utterance":"\\u00fc\\\\"},{"speaker":"a","utterance":7}]}}', '{"messages":[]}', '{"foo":{"prompt":"b","a,b":["x",{"c":1}]}}']
+        df = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "i int, record string")
+        turns = [(i % 5, i, ["user", "assistant"][i % 2], t) for i, t in enumerate(self.TEXTS)]
+        turns = chat.gather_records(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
+
+        def found():
+            return [sorted(map(str, out.collect())) for out in (chat.to_turns(df), chat.format_chats(turns), df.select(chat.schema_paths(F.col("record")).alias("p")))]
+        short = found()
+        monkeypatch.setattr(chat, "WHOLE", 5)
+        assert found() == short
+
+    def test_a_text_beyond_the_parsers_limit(self, spark):
+        n = 20_000_001
+        rows = spark.createDataFrame([(0, 0, "user"), (0, 1, "assistant"), (3, 0, "user"), (3, 1, "user"), (3, 2, "assistant")], "conv_id bigint, turn bigint, role string")
+        rows = rows.withColumn("text", F.when(F.col("role") == "user", "q").otherwise(F.repeat(F.lit("x"), F.lit(n))))
+        out = {r["conv_id"]: r for r in chat.format_chats(chat.gather_records(rows)).select("conv_id", "layout", F.length("formatted").alias("n"), F.size("mask").alias("m")).collect()}
+        assert (out[0]["layout"], out[0]["n"], out[0]["m"]) == ("prompt", n + 19 + 23, 6)
+        assert (out[3]["layout"], out[3]["n"], out[3]["m"]) == ("messages", n + 19 + 19 + 23, 9)
+
     def test_rows_with_nulls_ties_and_extra_columns(self, spark):
         rows = [(1, 0, "user", None, 5), (1, 1, None, "x", 5), (1, 1, "assistant", "b", 5), (1, 1, "assistant", "b", 5), (1, None, "system", "first", 5), (None, 0, "user", "q", 5)]
         df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, record int")
