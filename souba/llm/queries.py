@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -51,7 +51,17 @@ def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
     chats = chat.format_chats(chat.gather_records(rows.unionByName(extra)))
     back = chats.withColumn("t", chat.read_turns(F.col("formatted")))
     told = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("t", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    def under_loss(turn: Column, i: Column) -> Column:
+        """What of a turn is under the loss, by its three runs."""
+        at, parts = F.lit(1), []
+        for k in range(3):
+            run = F.get("mask", i * 3 + k)
+            parts.append(F.when(run["loss"], F.substring(F.concat(turn, F.lit(chat.END)), at, run["chars"])).otherwise(""))
+            at = at + run["chars"]
+        return F.concat(*parts)
+    turns = F.filter(F.split("formatted", chat.END), lambda p: p != "")
+    whole = F.aggregate("mask", F.lit(0), lambda n, run: n + run["chars"]) == F.char_length("formatted")     # else null
+    learned = F.when(whole, F.array_join(F.transform(turns, lambda p, i: chat.unescape(under_loss(p, i))), ""))
     back = back.withColumn("told", told).withColumn("learned", learned)
     return back.select("conv_id", F.size("t").cast("bigint").alias("n_turns"), F.sha2("told", 256).alias("turns_sha256"),
                        F.char_length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from souba.llm import chat, fingerprints, mixing, sharding
+from souba.llm import chat, fingerprints, mixing, queries, sharding
 
 ODD = [(1, None), (2, ""), (3, "a"), (4, "one line\n\nsecond section. More words here"), (5, "one line\n\nsecond section. More words here"),
        (6, "x" * 50_000), (7, " \n\t \n"), (8, "emoji 😀 und ümläute\r\n" * 40), (9, "word " * 30_000)]
@@ -150,6 +150,13 @@ class TestChat:
         assert (out[0]["layout"], out[0]["n"], out[0]["m"]) == ("prompt", n + 19 + 23, 6)
         assert (out[3]["layout"], out[3]["n"], out[3]["m"]) == ("messages", n + 19 + 19 + 23, 9)
 
+    def test_the_query_reads_the_mask(self, spark, monkeypatch):
+        sound = {r["conv_id"]: r for r in queries.op5_chat(spark, "/root/testdata/sf0.001").collect()}
+        assert sound[-7]["loss_chars"] == 26
+        mask = chat.loss_mask
+        monkeypatch.setattr(chat, "loss_mask", lambda turns: mask(turns, ("nobody",)))
+        assert all(r["loss_chars"] == 0 for r in queries.op5_chat(spark, "/root/testdata/sf0.001").collect())
+
     def test_rows_with_nulls_ties_and_extra_columns(self, spark):
         rows = [(1, 0, "user", None, 5), (1, 1, None, "x", 5), (1, 1, "assistant", "b", 5), (1, 1, "assistant", "b", 5), (1, None, "system", "first", 5), (None, 0, "user", "q", 5)]
         df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, record int")
