@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from souba.llm import chat, decontaminate, fingerprints, jaccard, mixing, quality, sharding, suffixes, toxicity, warc
+from souba.functions.text import let
+from souba.llm import chat, decontaminate, fingerprints, jaccard, mixing, periodic, quality, sharding, suffixes, toxicity, warc
 from souba.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,8 +101,36 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.grade(docs, model).drop("text").withColumn("keep", F.col("tail_probability") >= 0.5)
 
 
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """Documents whose hash ends in 0 with their words from a on repeating the p words there; the others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return let(F.struct(words.alias("w"), a.alias("a"), p.alias("p")), lambda x: F.array_join(F.transform(
+            x["w"], lambda w, i: F.when(i >= x["a"], F.get(x["w"], x["a"] + (i - x["a"]) % x["p"])).otherwise(w)), " "))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    edited = let(words, lambda w: F.when(F.size(w) > 0, planted(w)).otherwise(""))
+    return docs.withColumn("text", F.when(h % 10 == 0, edited).otherwise(F.col("text")))
+
+
+def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's periodic runs of words, the longest of them, and a digest of the text without their repeats."""
+    docs = with_planted_period(table(spark, folder, "documents").select("doc_id", "text"))
+    found = periodic.periodic_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.n").alias("length"),
+        (-F.col("best.q")).alias("period"), F.expr("1000 * best.n div -best.q").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_warc, op3_sharding, op4_toxicity, op5_chat, op6_mixing, op7_decontaminate,
-                                                     op8_suffixes, op9_jaccard, op10_quality)}
+                                                     op8_suffixes, op9_jaccard, op10_quality, op12_periods)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _HASH = "('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT"
@@ -174,4 +203,22 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM fold LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_periods": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_transform(range(0, 1 + length(CAST(doc_id AS VARCHAR))), lambda i: CASE WHEN i = 0 THEN 4294967295::BIGINT ELSE ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INT), 1))::BIGINT END),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) AS h FROM documents),
+g AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+e AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) END AS w FROM g),
+p AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM e),
+eq AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM eq) GROUP BY doc_id, q, island
+      HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY ALL),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+      arg_max(struct_pack(s := start, n := length, q := period), (length, -start, -period)) AS best FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM p
+      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = p.doc_id AND p.i >= r.start + r.period AND p.i < r.start + r.length) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.n AS length, best.q AS period, 1000 * best.n // best.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }
