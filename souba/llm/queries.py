@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from souba.functions.text import let
-from souba.llm import chat, decontaminate, fingerprints, jaccard, mixing, periodic, quality, sharding, suffixes, toxicity, warc
+from souba.llm import chat, decontaminate, fingerprints, jaccard, mixing, periodic, quality, search, sharding, suffixes, toxicity, warc
 from souba.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,8 +129,13 @@ def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents of each benchmark item, all items scored together over the term sets they share."""
+    return search.rank_documents(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_warc, op3_sharding, op4_toxicity, op5_chat, op6_mixing, op7_decontaminate,
-                                                     op8_suffixes, op9_jaccard, op10_quality, op12_periods)}
+                                                     op8_suffixes, op9_jaccard, op10_quality, op12_periods, op13_search)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _HASH = "('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT"
@@ -203,6 +208,16 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM fold LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op13_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+a AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, len(w)::BIGINT AS n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+t AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY term, n_docs),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM p JOIN t USING (term) JOIN i USING (term), a GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50""",
     "op12_periods": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
     xor(list_reduce(list_transform(range(0, 1 + length(CAST(doc_id AS VARCHAR))), lambda i: CASE WHEN i = 0 THEN 4294967295::BIGINT ELSE ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INT), 1))::BIGINT END),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
-from souba.llm import periodic
+from souba.llm import periodic, search
 
 
 def brute_runs(words):
@@ -60,3 +64,68 @@ class TestPeriodicRuns:
 
     def test_empty_table(self, documents):
         assert periodic.periodic_runs(documents([])).count() == 0
+
+
+def brute_search(docs, items, top):
+    def split(text):
+        folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", folded)
+    texts = [(i, Counter(split(t))) for i, t in docs if split(t)]
+    n_docs, n_terms = len(texts), sum(sum(c.values()) for _, c in texts)
+    df = Counter(t for _, c in texts for t in c)
+    wanted = defaultdict(set)
+    for i, t in items:
+        wanted[i] |= set(split(t))
+    out = set()
+    for item, words in wanted.items():
+        scores = []
+        for place, (i, c) in enumerate(texts):
+            m = 50 + 50 * sum(c.values()) * n_docs // n_terms
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 20 * m)) for t in words if t in c)
+            if score > 0:
+                scores.append((-score, i is None, i or 0, place))
+        out |= {(item, k + 1, None if null else i, -s) for k, (s, null, i, _) in enumerate(sorted(scores)[:top])}
+    return out
+
+
+class TestRankedSearch:
+    WORDS = "de la the of x1 Über straße and que les und der abc zz 7 ñandú quick brown fox jumps".split()
+
+    def texts(self, rnd, n, longest):
+        return [" ,".join(rnd.choice(self.WORDS).upper() if rnd.random() < 0.2 else rnd.choice(self.WORDS) for _ in range(rnd.randint(0, longest))) for _ in range(n)]
+
+    def test_against_brute_force(self, spark, documents, monkeypatch):
+        rnd = random.Random(3)
+        docs = list(enumerate(self.texts(rnd, 150, 30))) + [(9, None), (None, "fox fox"), (None, "fox"), (10**12, "the " * 5000), (200, "de la"), (200, "de la"), (201, "de la"), (202, "?!")]
+        items = list(enumerate(self.texts(rnd, 40, 12))) + [(5, "fox quick"), (None, "brown"), (50, None), (51, ""), (52, "the of x1"), (53, "THE of X1 and"), (54, "unseen")]
+        asked = spark.createDataFrame(items, "item_id bigint, text string")
+        monkeypatch.setattr(search, "SLICE_BYTES", 20_000)
+        for block_bytes in (10**6, 400):
+            got = search.rank_documents(documents(docs), asked, top=7, block_bytes=block_bytes).collect()
+            assert {tuple(r) for r in got} == brute_search(docs, items, 7) and len(got) == len({(r["item_id"], r["rank"]) for r in got})
+
+    def test_empty_tables(self, spark, documents):
+        none, some = spark.createDataFrame([], "item_id string, text string"), spark.createDataFrame([("a", "x")], "item_id string, text string")
+        assert search.rank_documents(documents([(1, "x")]), none).count() == 0
+        assert search.rank_documents(documents([]), some).count() == 0
+        assert [tuple(r) for r in search.rank_documents(documents([(1, "x"), (2, "y")]), some).select("item_id", "rank", "doc_id").collect()] == [("a", 1, 1)]
+
+    def test_shared_sets_are_added_up_once(self):
+        rnd = random.Random(5)
+        common = [rnd.sample(range(60), 8) for _ in range(5)]
+        sets = [set(rnd.choice(common)) | set(rnd.choice(common)) | {60 + i} for i in range(40)]
+        pairs = [(i, t) for i, s in enumerate(sets) for t in s]
+        used = sorted({t for _, t in pairs})
+        plan = search.shared_plan(pa.array(range(40)), np.array([i for i, _ in pairs]), np.array([used.index(t) for _, t in pairs]), [str(t) for t in used])
+        content = [set() for _ in range(plan.nodes)]
+        for t, node in enumerate(plan.node_of):
+            content[node].add(used[t])
+        at = max(plan.node_of) + 1
+        for left, right in plan.levels:
+            for a, b in zip(left, right):
+                assert not content[a] & content[b]
+                content[at] = content[a] | content[b]
+                at += 1
+        ends = [*plan.starts[1:], len(plan.parts)]
+        assert [set().union(*(content[p] for p in plan.parts[a:b])) for a, b in zip(plan.starts, ends)] == sets and at == plan.nodes
+        assert plan.levels and len(plan.parts) + sum(len(a) for a, _ in plan.levels) < len(pairs) / 3
