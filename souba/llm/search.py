@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,7 +103,7 @@ def plans(items: DataFrame, item_id: str, text: str, block_bytes: int) -> DataFr
     def build(table: pa.Table) -> pa.Table:
         item, term = table.column("item").combine_chunks(), table.column("term").combine_chunks()
         ids, words = item.unique().sort(), term.unique().sort()
-        number = lambda values, of: np.asarray(pa.compute.index_in(values, of, skip_nulls=False), dtype=np.int64)
+        number = lambda values, of: np.asarray(pc.index_in(values, of, skip_nulls=False), dtype=np.int64)
         plan = shared_plan(ids, number(item, ids), number(term, words), words.to_pylist())
         return pa.table({"block": table.column("block").slice(0, 1), "plan": pa.array([pickle.dumps(plan)], pa.large_binary()).cast(pa.binary())})
     return pairs.withColumn("block", block).groupBy("block").applyInArrow(build, "block bigint, plan binary")
