@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from souba.functions.text import let
-from souba.llm import chat, decontaminate, fingerprints, jaccard, mixing, periodic, quality, search, sharding, suffixes, toxicity, warc
+from souba.llm import chat, decontaminate, fingerprints, jaccard, mixing, periodic, quality, search, sharding, suffixes, toxicity, vectors, warc
 from souba.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.grade(docs, model).drop("text").withColumn("keep", F.col("tail_probability") >= 0.5)
 
 
+def op11_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's number of links at a cosine of 0.9, its class, and whether it stands for it."""
+    return vectors.link_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding")).drop("embedding")
+
+
 def with_planted_period(docs: DataFrame) -> DataFrame:
     """Documents whose hash ends in 0 with their words from a on repeating the p words there; the others as they are."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -135,7 +140,7 @@ def op13_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_warc, op3_sharding, op4_toxicity, op5_chat, op6_mixing, op7_decontaminate,
-                                                     op8_suffixes, op9_jaccard, op10_quality, op12_periods, op13_search)}
+                                                     op8_suffixes, op9_jaccard, op10_quality, op11_vectors, op12_periods, op13_search)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _HASH = "('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT"
@@ -208,6 +213,14 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM fold LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.n > 0 AND b.n > 0
+      AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r AS (SELECT vec_id AS v, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v),
+k AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN k ON v = vec_id""",
     "op13_search": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 
-from souba.llm import periodic, search
+from souba.llm import periodic, search, vectors
 
 
 def brute_runs(words):
@@ -129,3 +129,70 @@ class TestRankedSearch:
         ends = [*plan.starts[1:], len(plan.parts)]
         assert [set().union(*(content[p] for p in plan.parts[a:b])) for a, b in zip(plan.starts, ends)] == sets and at == plan.nodes
         assert plan.levels and len(plan.parts) + sum(len(a) for a, _ in plan.levels) < len(pairs) / 3
+
+
+def brute_links(rows, threshold=0.9):
+    """n_links and least reachable id of each row."""
+    def fit(v):
+        return v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    unit = [np.array(v) / np.abs(v).max() / np.linalg.norm(np.array(v) / np.abs(v).max()) if fit(v) else None for _, v in rows]
+    links = [[j for j in range(len(rows)) if j != i and unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j])
+              and unit[i] @ unit[j] >= threshold] for i in range(len(rows))]
+    out = []
+    for i, (key, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        least = min(ids) if ids else None
+        out.append((key, len(links[i]), least, key is not None and key == least))
+    return out
+
+
+class TestNearVectors:
+    def groups(self, sizes, dim=24, seed=2):
+        """(size, spread) -> unit vectors about one centre each."""
+        rng, out = np.random.default_rng(seed), []
+        for size, spread in sizes:
+            centre = rng.standard_normal(dim)
+            centre /= np.linalg.norm(centre)
+            for _ in range(size):
+                off = rng.standard_normal(dim)
+                out.append((centre + spread * rng.uniform(0.5, 1) * off / np.linalg.norm(off)) * rng.uniform(0.1, 9))
+        return out
+
+    def told(self, spark, rows):
+        frame = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], "x") for i, v in rows], "vec_id bigint, embedding array<double>, N_LINKS string")
+        got = vectors.link_vectors(frame)
+        assert sorted(got.columns) == ["component_id", "embedding", "kept", "n_links", "vec_id"]
+        key = lambda r: (r[0] is None, r[0] or 0, *map(str, r))
+        return sorted((tuple(r) for r in got.select("vec_id", "n_links", "component_id", "kept").collect()), key=key), sorted(brute_links(rows), key=key)
+
+    def test_tight_loose_and_bridged_groups_in_folds_pieces_and_blocks(self, spark, monkeypatch):
+        monkeypatch.setattr(vectors, "MISS", 1e-6)
+        for name, value in (("PIECE", 16), ("BLOCK", 8), ("LOAD", 64)):
+            monkeypatch.setattr(vectors, name, value)
+        a, b = np.eye(24)[0], np.eye(24)[1]
+        arc = [math.cos(t) * a + math.sin(t) * b for t in np.linspace(0, 1.2, 40)]          # a chain: only near ones link
+        found = self.groups([(60, 0.15), (50, 0.45), (40, 0.6), (1, 0)] + [(2, 0.2)] * 10 + [(1, 0)] * 40) + arc
+        rows = [(1000 - i, v) for i, v in enumerate(found)]
+        got, expected = self.told(spark, rows)
+        assert got == expected and max(r[1] for r in got) >= 59
+
+    def test_odd_rows(self, spark):
+        rows = [(1, None), (2, [0, 0]), (3, [1, None]), (4, [1, math.nan]), (5, [math.inf, 1]), (6, []), (7, [1, 0]), (8, [1, 0]), (8, [2, 0.1]), (8, [0, 1]),
+                (None, [1, 0.2]), (None, [-1, 0.2]), (None, None), (9, [1, 0, 0]), (10, [1e200, 0]), (11, [1e-300, 0]), (12, [-0.0, 1]), (13, [0.0, 1])]
+        got, expected = self.told(spark, rows)
+        assert got == expected
+
+    def test_empty_table(self, spark):
+        assert vectors.link_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+    def test_shape_follows_the_number_of_vectors(self):
+        for n in (10, 10**4, 10**7, 10**10):
+            directions, tables = vectors.shape(n, 0.9)
+            near, far = vectors.meeting(math.sqrt(0.2)), vectors.meeting(math.sqrt(2))
+            assert (1 - near**directions) ** tables <= vectors.MISS and n * far**directions <= vectors.LOAD
