@@ -1,17 +1,21 @@
-"""Reading flat HTML templates with built-in expressions.
+"""Reading HTML pages with built-in expressions, over an index of their tags.
 
-Shop pages repeat one small template per card, so a card is found by its
-opening tag and a field by the first tag of its kind inside the card. All of
-it stays inside the JVM; no Python runs per page.
+A page is read once, into the array of its tags (``tag_index``). An element is the part of that array from its opening
+tag to the closing tag of the same depth, a running sum over the tags of its name; cards are such parts, and fields look
+up elements inside them. No text is searched again for a field. All of it stays inside the JVM.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from souba.functions.text import blank_to_null, let, strip
 
 _DOT_ALL = "(?is)"
+_CLASS = r"(?is)\bclass\s*=\s*[\"']([^\"']*)[\"']"
+_INERT = "\ue000"       # stands for a < inside a comment
 
 # --- fixed values: named character references met on the pages ---------------
 NAMED_ENTITIES = {
@@ -20,106 +24,129 @@ NAMED_ENTITIES = {
 }
 
 
-def opening(tag: str, css_class: str | None = None, attribute: str | None = None) -> str:
-    """Pattern of an opening tag, by class token or by the presence of an attribute."""
-    ahead = ""
-    if css_class:
-        ahead += rf"(?=[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?\Q{css_class}\E(?:\s[^\"']*)?[\"'])"
-    if attribute:
-        ahead += rf"(?=[^>]*\s\Q{attribute}\E\s*=)"
-    return rf"<{tag}\b{ahead}[^>]*>"
-
+def _comments_closed(html: Column) -> Column:
+    """Comments without a ``<`` in them, so that none of what they hold counts as a tag."""
+    def closed(part: Column, i: Column) -> Column:
+        body = F.substring_index(part, "-->", 1)
+        return F.when(i == 0, part).when(part.contains("-->"), F.concat(
+            F.lit("<!--"), F.replace(body, F.lit("<"), F.lit(_INERT)), F.substring(part, F.char_length(body) + 1, F.char_length(part)))).otherwise(F.concat(F.lit("<!--"), part))
+    return F.when(html.contains("<!--"), F.array_join(F.transform(F.split(html, "<!--"), closed), "")).otherwise(html)
 
-def without_comments(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
 
-
-def without_scripts(html: Column) -> Column:
+def _without_scripts(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
 
 
-def cards_by_tag(html: Column, tag: str, css_class: str | None = None) -> Column:
-    """One string per card: an element's inside with its opening tag, cut short by the next one of its kind."""
-    start = opening(tag, css_class)
-    pieces = F.split(html, f"{_DOT_ALL}(?={start})")
-    return F.transform(F.filter(pieces, lambda piece: piece.rlike(f"{_DOT_ALL}^{start}")), lambda piece: element(piece, tag))
-
-
-def cards_in_list(html: Column, list_class: str | None = None, container: str = "ul") -> Column:
-    """``li`` cards of the lists that carry a class; lists inside a card do not end it."""
-    return F.flatten(F.transform(cards_by_tag(html, container, list_class), lambda one: cards_by_tag(one, "li")))
-
+def tag_index(html: Column, scripts: bool = False) -> Column:
+    """The tags of a page in order, under one for the page itself: the index all lookups work on.
 
-def element(piece: Column, tag: str) -> Column:
-    """A text that starts with an opening tag, up to the closing tag that belongs to it (all of it where none does).
-
-    Tags of the name are counted; most elements hold none of their own name and end at the first closing tag.
+    Each has its number ``at``, ``open`` (false for closing tags), its ``name`` in lower case, its class ``tokens``
+    between spaces, its ``attrs`` as written, after the name, and the decoded ``text`` up to the next tag. A comment is a
+    tag of the name ``!--``; what is no tag, such as a ``<`` in the text, has no name. Scripts and styles are left out
+    unless asked for.
     """
-    edge = f"(?i)(?=</?{tag}\\b)"
-    closing = lambda part: part.startswith("</")
-
-    def add(acc: Column, part: Column) -> Column:
-        depth = acc["depth"] + F.when(part.rlike(f"(?i)^<{tag}\\b"), 1).when(closing(part), -1).otherwise(0)
-        inside = acc["inside"] & (depth > 0)
-        return F.struct(depth.alias("depth"), inside.alias("inside"),
-                        F.when(inside, acc["chars"] + F.char_length(part)).otherwise(acc["chars"]).alias("chars"))
-
-    def counted(text: Column) -> Column:
-        start = F.struct(F.lit(0).alias("depth"), F.lit(True).alias("inside"), F.lit(0).alias("chars"))
-        parts = F.filter(F.split(text, edge), lambda part: part != "")
-        return F.substring(text, F.lit(1), F.aggregate(parts, start, add)["chars"])
-
-    flat = lambda text: let(F.split(text, edge, 3), lambda parts: F.when(
-        F.size(parts) < 2, text).when(closing(parts[1]), parts[0]).otherwise(counted(text)))
-    return let(piece, flat)
-
-
-def inner(fragment: Column, tag: str, css_class: str | None = None, attribute: str | None = None) -> Column:
-    """Inner HTML of the first such element; null when there is none."""
-    rest = blank_to_null(F.regexp_extract(fragment, f"{_DOT_ALL}{opening(tag, css_class, attribute)}.*$", 0))
-    return F.regexp_replace(element(rest, tag), r"^<[^>]*>", "")
-
-
-def inner_of_any(fragment: Column, css_class: str) -> Column:
-    """Inner HTML of the first element of a class, whatever its tag."""
-    tag = opening(r"([a-z][a-z0-9]*)", css_class)
-    return blank_to_null(F.regexp_extract(fragment, rf"{_DOT_ALL}{tag}(.*?)</\1\s*>", 2))
-
-
-def _elements(fragment: Column, tag: str, css_class: str | None) -> Column:
-    """All such elements with their opening tags, in page order; one inside another counts too."""
-    start = opening(tag, css_class)
-
-    def of(pieces: Column) -> Column:
-        rest = F.transform(pieces, lambda p, i: F.when(p.rlike(f"{_DOT_ALL}^{start}"), F.array_join(F.slice(pieces, i + 1, F.size(pieces)), "")))
-        return F.transform(F.filter(rest, lambda p: p.isNotNull()), lambda p: element(p, tag))
-    return let(F.split(fragment, f"{_DOT_ALL}(?={start})"), of)
-
-
-def inner_all(fragment: Column, tag: str, css_class: str | None = None) -> Column:
-    """Inner HTML of all such elements, in page order."""
-    return F.transform(_elements(fragment, tag, css_class), lambda e: F.regexp_replace(e, r"^<[^>]*>", ""))
-
-
-def outer_all(fragment: Column, tag: str, css_class: str | None = None) -> Column:
-    """Elements with their own tags, in page order."""
-    return F.transform(_elements(fragment, tag, css_class), lambda e: F.concat(e, F.lit(f"</{tag}>")))
+    page = _comments_closed(html) if scripts else _without_scripts(_comments_closed(html))
+
+    # Three passes over the pieces, so that a name and what stands before the closing > are found once each.
+    def named(t: Column) -> Column:
+        return F.struct(F.when(t.startswith("!--"), F.when(t.contains("-->"), F.lit("!--"))).when(t.contains(">"), F.nullif(
+            F.regexp_extract(t, r"^/?([a-zA-Z]\w*)", 1), F.lit(""))).alias("name"), t.alias("t"))
+
+    def parted(x: Column) -> Column:
+        inside = F.when(x["name"].isNull(), "").when(x["name"] == "!--", F.substring_index(x["t"], "-->", 1)).otherwise(F.substring_index(x["t"], ">", 1))
+        return F.struct(x["name"].alias("name"), inside.alias("attrs"), x["t"].alias("t"))
+
+    def read(t: Column, i: Column) -> Column:
+        attrs, skip = t["attrs"], F.when(t["name"] == "!--", 3).otherwise(1)
+        text = F.when(t["name"].isNull(), F.concat(F.lit("<"), t["t"])).otherwise(
+            F.substring(t["t"], F.char_length(attrs) + skip + 1, F.char_length(t["t"])))
+        tokens = F.concat(F.lit(" "), F.regexp_replace(F.regexp_extract(attrs, _CLASS, 1), r"\s+", " "), F.lit(" "))
+        name = F.coalesce(F.when(t["name"].rlike("[A-Z]"), F.lower(t["name"])).otherwise(t["name"]), F.lit(""))
+        return F.struct(
+            i.alias("at"), (~attrs.startswith("/")).alias("open"), name.alias("name"),
+            F.when(attrs.contains("class") | attrs.contains("CLASS"), tokens).alias("tokens"), attrs.alias("attrs"),
+            F.when(text.contains("&"), unescape(text)).otherwise(text).alias("text"))
+    pieces = F.split(F.concat(F.lit("page>"), page), "<")
+    return F.transform(F.transform(F.transform(pieces, named), parted), read)
+
+
+def _opens(tag: str | None = None, css_class: str | None = None, attribute: str | None = None, value: str | None = None) -> Callable[[Column], Column]:
+    """Whether a tag opens an element of a name, a class token, an attribute or an attribute's value."""
+    def matches(t: Column) -> Column:
+        found = t["open"] & ((t["name"] == tag) if tag else ~t["name"].isin("", "!--"))
+        if css_class:
+            found = found & t["tokens"].contains(f" {css_class} ")
+        if attribute:
+            quoted = "" if value is None else rf"\s*[\"']\Q{value}\E[\"']"
+            found = found & t["attrs"].rlike(rf"(?is)\s\Q{attribute}\E\s*={quoted}")
+        return found
+    return matches
+
+
+def _inside(index: Column) -> Column:
+    """What follows the first tag of a bound index."""
+    return F.slice(index, F.lit(2), F.greatest(F.size(index) - 1, F.lit(0)))
+
+
+def element(index: Column) -> Column:
+    """The part of an index that belongs to its first tag: up to the closing tag of the same depth, all where none is."""
+    def depth(acc: Column, t: Column) -> Column:
+        now = acc["depth"] + F.when(t["open"], 1).otherwise(-1)
+        return F.struct(now.alias("depth"), F.coalesce(acc["end"], F.when(now == 0, t["at"])).alias("end"))
+
+    def cut(x: Column) -> Column:
+        first = F.get(x, 0)
+        start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("end"))
+        same = let(first["name"], lambda name: F.filter(x, lambda t: t["name"] == name))
+        end = let(same, lambda some: F.when(~F.get(some, 1)["open"], F.get(some, 1)["at"]).otherwise(F.aggregate(some, start, depth)["end"]))
+        return F.slice(x, F.lit(1), F.coalesce(end - first["at"], F.size(x)))
+    return let(index, cut)
+
+
+def first(index: Column, tag: str | None = None, css_class: str | None = None, attribute: str | None = None) -> Column:
+    """The first such element inside an element or page; null when there is none."""
+    def of(x: Column) -> Column:
+        at = F.get(F.filter(_inside(x), _opens(tag, css_class, attribute)), 0)["at"] - F.get(x, 0)["at"]
+        return element(F.when(at.isNotNull(), F.slice(x, at + 1, F.size(x))))
+    return let(index, of)
+
+
+def every(index: Column, tag: str, css_class: str | None = None, attribute: str | None = None, value: str | None = None) -> Column:
+    """All such elements, in page order; one inside another counts too."""
+    return let(index, lambda x: F.transform(
+        F.filter(_inside(x), _opens(tag, css_class, attribute, value)), lambda o: element(F.slice(x, o["at"] - F.get(x, 0)["at"] + 1, F.size(x)))))
+
+
+def cards_by_tag(index: Column, tag: str, css_class: str | None = None) -> Column:
+    """One element per card, cut short by the next opening tag of its kind."""
+    def of(x: Column) -> Column:
+        opens = F.filter(_inside(x), _opens(tag, css_class))
+        ends = lambda some, i: F.coalesce(F.get(some, i + 1)["at"], F.get(x, -1 + F.size(x))["at"] + 1)
+        return let(opens, lambda some: F.transform(some, lambda o, i: element(
+            F.slice(x, o["at"] - F.get(x, 0)["at"] + 1, ends(some, i) - o["at"]))))
+    return let(index, of)
+
+
+def cards_in_list(index: Column, list_class: str | None = None, container: str = "ul") -> Column:
+    """``li`` cards of the lists that carry a class; lists inside a card do not end it."""
+    return F.flatten(F.transform(cards_by_tag(index, container, list_class), lambda one: cards_by_tag(one, "li")))
 
 
-def first_tag(fragment: Column, tag: str, css_class: str | None = None, attribute: str | None = None) -> Column:
-    """The first opening tag of its kind; null when there is none."""
-    return blank_to_null(F.regexp_extract(fragment, f"{_DOT_ALL}({opening(tag, css_class, attribute)})", 1))
+def attrs_of(index: Column) -> Column:
+    """Attributes of an element's own tag; null where there is no element."""
+    return F.get(index, 0)["attrs"]
 
 
-def attribute(tag_text: Column, name: str) -> Column:
-    """Value of an attribute of an opening tag; null when absent or empty."""
+def attribute(attrs: Column, name: str) -> Column:
+    """Value of an attribute; null when absent or empty."""
     pattern = rf"{_DOT_ALL}\s\Q{name}\E\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-    return unescape(let(tag_text, lambda t: F.coalesce(
+    return unescape(let(attrs, lambda t: F.coalesce(
         *[blank_to_null(F.regexp_extract(t, pattern, i)) for i in (1, 2, 3)])))
 
 
-def has_class(tag_text: Column, css_class: str) -> Column:
-    return tag_text.rlike(rf"(?is)\bclass\s*=\s*[\"'](?:[^\"']*\s)?\Q{css_class}\E(?:\s[^\"']*)?[\"']")
+def has_class(index: Column, css_class: str) -> Column:
+    """Whether an element's own tag has a class token."""
+    return F.coalesce(F.get(index, 0)["tokens"].contains(f" {css_class} "), F.lit(False))
 
 
 def unescape(text: Column) -> Column:
@@ -145,19 +172,25 @@ def _numeric_references(text: Column) -> Column:
         F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(1))), t, decoded))
 
 
-def text_of(inner_html: Column) -> Column:
+def text_of(index: Column) -> Column:
     """Text of an element, each piece of text stripped before joining."""
-    return strip(unescape(F.regexp_replace(inner_html, r"(?U)\s*<[^>]*>\s*", "")))
+    return F.array_join(F.transform(index["text"], strip), "")
 
 
-def raw_text_of(inner_html: Column) -> Column:
+def raw_text_of(index: Column) -> Column:
     """Text of an element with its white space."""
-    return unescape(F.regexp_replace(inner_html, r"<[^>]*>", ""))
+    return F.array_join(index["text"], "")
+
+
+def bare_text(markup: Column) -> Column:
+    """Text of a piece of markup, such as a comment's body."""
+    return unescape(F.regexp_replace(markup, r"<[^>]*>", ""))
 
 
-def comments(fragment: Column) -> Column:
-    """Texts of the comments, in page order."""
-    return F.regexp_extract_all(fragment, F.lit(r"(?s)<!--(.*?)-->"), F.lit(1))
+def comments(index: Column) -> Column:
+    """Texts of the comments inside an element or page, in page order."""
+    return F.transform(F.filter(index, lambda t: t["name"] == "!--"), lambda t: F.replace(
+        F.substring(t["attrs"], F.lit(4), F.char_length(t["attrs"])), F.lit(_INERT), F.lit("<")))
 
 
 def json_ld(html: Column) -> Column:

@@ -11,6 +11,7 @@ from souba import fixed_values as fv
 
 ANY_CASE = "(?iU)"   # case-insensitive, Unicode \w \b \s \d
 UNICODE = "(?U)"     # case-sensitive, Unicode classes
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -20,7 +21,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of Unicode white space, not only U+0020."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(text: Column) -> Column:

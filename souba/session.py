@@ -29,6 +29,8 @@ def local_session(name: str = "souba", cores: str | int = "*", shuffle_partition
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SOUBA_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")      # small tables keep their parallelism
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")               # else each Column asks for its call site
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

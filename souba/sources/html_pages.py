@@ -17,7 +17,7 @@ from souba import fixed_values as fv
 from souba.functions import html as H
 from souba.functions.text import (
     absolute_url, blank_to_null, clean_brand, condition_from_title, condition_grade, first_match,
-    first_non_blank, first_with_word, has_any, json_ld_sku, parse_price, screen_size, shop_name,
+    first_non_blank, first_with_word, has_any, json_ld_sku, let, parse_price, screen_size, shop_name,
     strip, url_number, url_parameter, url_tail,
 )
 from souba.functions.titles import block_specs, bracket_specs, label_specs, slash_specs
@@ -27,7 +27,7 @@ from souba.functions.titles import block_specs, bracket_specs, label_specs, slas
 class Layout:
     """How one shop's listing page is read.
 
-    ``cards`` cuts a page into card strings, ``raw`` reads the pieces of a card
+    ``cards`` finds the cards in a page's tag index, ``raw`` reads the pieces of a card
     into named columns, ``specs`` parses some of those, ``fields`` builds the listing from those columns and
     ``keep`` says which listings have their mandatory parts.
     """
@@ -44,7 +44,8 @@ class Layout:
 def extract_cards(pages: DataFrame, layout: Layout, scraped_at: Column | None = None) -> DataFrame:
     """Listings of a table of pages (``html``; other columns are carried along)."""
     carried = [c for c in pages.columns if c != "html"]
-    cards = pages.select(*carried, F.posexplode(layout.cards(F.col("html"))).alias("card_no", "_card"))
+    index = pages.select(*carried, H.tag_index(F.col("html")).alias("_page"))
+    cards = index.select(*carried, F.posexplode(layout.cards(F.col("_page"))).alias("card_no", "_card"))
     raw = cards.select(*carried, "card_no", *[c.alias(n) for n, c in layout.raw(F.col("_card")).items()])
     raw = raw.where(layout.keep()).select("*", *[c.alias(n) for n, c in layout.specs().items()])
     query = F.col("search_query") if "search_query" in carried else F.lit(None).cast("string")
@@ -66,19 +67,19 @@ def _no_specs() -> dict[str, Column]:
 
 # --- P1 price-comparison table ------------------------------------------------
 def _comparison_raw(card: Column) -> dict[str, Column]:
-    name_cell = H.inner(card, "td", "itemName")
+    name_cell = H.first(card, "td", "itemName")
     return {
         "_has_name": name_cell.isNotNull(),
-        "_name": H.text_of(H.inner(name_cell, "strong")),
-        "_href": H.attribute(H.first_tag(name_cell, "a"), "href"),
-        "_price": H.text_of(H.inner(card, "td", "priceData")),
-        "_cells": H.outer_all(card, "td", "colC"),
-        "_shop": H.text_of(H.inner(card, "td", "colShop")),
+        "_name": H.text_of(H.first(name_cell, "strong")),
+        "_href": H.attribute(H.attrs_of(H.first(name_cell, "a")), "href"),
+        "_price": H.text_of(H.first(card, "td", "priceData")),
+        "_cells": H.every(card, "td", "colC"),
+        "_shop": H.text_of(H.first(card, "td", "colShop")),
     }
 
 
 def _comparison_specs() -> dict[str, Column]:
-    spans_two = lambda cell: cell.rlike(r"(?is)^<td\b[^>]*\browspan\s*=\s*[\"']2[\"']")
+    spans_two = lambda cell: H.attrs_of(cell).rlike(r"(?is)\browspan\s*=\s*[\"']2[\"']")
     return {
         "_wide": F.transform(F.filter("_cells", spans_two), H.text_of),
         "_plain": F.transform(F.filter("_cells", lambda c: ~spans_two(c)), H.text_of),
@@ -102,16 +103,16 @@ def _comparison_fields() -> dict[str, Column]:
 
 # --- P2 card list with single and aggregated links ----------------------------
 def _recycle_raw(card: Column) -> dict[str, Column]:
-    link, inside = H.first_tag(card, "a"), H.inner(card, "a")
+    link = H.first(card, "a")
     return {
-        "_href": H.attribute(link, "href"),
+        "_href": H.attribute(H.attrs_of(link), "href"),
         "_grouped": H.has_class(link, "sys-aggregation-item"),
-        "_brand": H.text_of(H.inner(inside, "p", "sys-maker")),
-        "_name": F.coalesce(H.text_of(H.inner(inside, "p", "sys-name")),
-                            H.text_of(H.inner(inside, "p", "sys-short-name")), F.lit("")),
-        "_price": H.text_of(H.inner(inside, "span", "sys-price")),
-        "_rank": H.text_of(H.inner(inside, "strong", "sys-rank")),
-        "_shop": H.text_of(H.inner(inside, "dd", "sys-handled-shop-name")),
+        "_brand": H.text_of(H.first(link, "p", "sys-maker")),
+        "_name": F.coalesce(H.text_of(H.first(link, "p", "sys-name")),
+                            H.text_of(H.first(link, "p", "sys-short-name")), F.lit("")),
+        "_price": H.text_of(H.first(link, "span", "sys-price")),
+        "_rank": H.text_of(H.first(link, "strong", "sys-rank")),
+        "_shop": H.text_of(H.first(link, "dd", "sys-handled-shop-name")),
     }
 
 
@@ -136,18 +137,18 @@ def _recycle_fields() -> dict[str, Column]:
 
 # --- P3 card list with span texts ----------------------------------------------
 def _span_raw(card: Column) -> dict[str, Column]:
-    link = H.inner(card, "a")
-    spans = H.inner_all(link, "span", "subspec")
-    strong = H.inner_all(F.array_join(spans, " "), "strong")
-    priced = F.filter(F.transform(H.inner_all(link, "p"), H.raw_text_of), lambda p: p.contains("￥"))
-    sold_out = rf"(?is)<img\b[^>]*\balt\s*=\s*[\"']{fv.SOLD_OUT}[\"']"
+    link = H.first(card, "a")
+    spans = H.every(link, "span", "subspec")
+    strong = let(spans, lambda some: F.flatten(F.transform(some, lambda span: H.every(span, "strong"))))
+    priced = F.filter(F.transform(H.every(link, "p"), H.raw_text_of), lambda p: p.contains("￥"))
+    sold_out = F.exists(link, lambda t: (t["name"] == "img") & t["attrs"].rlike(rf"(?is)\balt\s*=\s*[\"']{fv.SOLD_OUT}[\"']"))
     return {
-        "_href": H.attribute(H.first_tag(card, "a"), "href"),
+        "_href": H.attribute(H.attrs_of(link), "href"),
         "_brand": H.text_of(F.get(strong, 0)),
         "_model": H.text_of(F.get(strong, 1)),
         "_texts": F.transform(spans, H.text_of),
         "_price": F.get(priced, 0),
-        "_active": ~link.rlike(sold_out),
+        "_active": ~sold_out,
     }
 
 
@@ -174,14 +175,14 @@ def _span_fields() -> dict[str, Column]:
 
 # --- P4 card list with specs inside comments ------------------------------------
 def _comment_raw(card: Column) -> dict[str, Column]:
-    bare = H.without_comments(card)
-    name = H.inner(bare, "p", "name")
+    name = H.first(card, "p", "name")
+    link = H.first(name, "a")
     blocks = F.filter(H.comments(card), lambda c: c.contains("商品番号") | c.contains("メーカ"))
     return {
-        "_title": H.text_of(H.inner(name, "a")),
-        "_href": H.attribute(H.first_tag(name, "a"), "href"),
-        "_price": H.raw_text_of(H.inner(bare, "em", "price")),
-        "_block": block_specs(H.raw_text_of(F.get(blocks, 0))),
+        "_title": H.text_of(link),
+        "_href": H.attribute(H.attrs_of(link), "href"),
+        "_price": H.raw_text_of(H.first(card, "em", "price")),
+        "_block": block_specs(H.bare_text(F.get(blocks, 0))),
     }
 
 
@@ -207,15 +208,15 @@ def _comment_fields() -> dict[str, Column]:
 
 # --- P5 box list with "label : value" lines --------------------------------------
 def _line_raw(card: Column) -> dict[str, Column]:
-    shop, link = H.inner(card, "div", "zaiko_shop"), H.inner(card, "a", attribute="href")
+    shop, link = H.first(card, "div", "zaiko_shop"), H.first(card, "a", attribute="href")
     return {
-        "_href": H.attribute(H.first_tag(card, "a", attribute="href"), "href"),
-        "_brand": H.text_of(H.inner(link, "span", "mfr_tx")),
-        "_name": F.coalesce(H.text_of(H.inner(link, "div", "item_ti")), F.lit("")),
-        "_lines": F.transform(H.inner_all(link, "div", "item_spec1"), H.text_of),
-        "_condition": F.coalesce(H.text_of(H.inner(card, "li", "evaluation_rating")), F.lit("")),
-        "_price": H.raw_text_of(H.inner(H.inner(card, "div", "price_tx"), "strong")),
-        "_shop": H.text_of(H.inner(shop, "a")),
+        "_href": H.attribute(H.attrs_of(link), "href"),
+        "_brand": H.text_of(H.first(link, "span", "mfr_tx")),
+        "_name": F.coalesce(H.text_of(H.first(link, "div", "item_ti")), F.lit("")),
+        "_lines": F.transform(H.every(link, "div", "item_spec1"), H.text_of),
+        "_condition": F.coalesce(H.text_of(H.first(card, "li", "evaluation_rating")), F.lit("")),
+        "_price": H.raw_text_of(H.first(H.first(card, "div", "price_tx"), "strong")),
+        "_shop": H.text_of(H.first(shop, "a")),
     }
 
 
@@ -246,11 +247,12 @@ def _line_fields() -> dict[str, Column]:
 
 # --- P7 box list of the new/used shop ---------------------------------------------
 def _box_raw(card: Column) -> dict[str, Column]:
+    link = H.first(card, "a", "product_name")
     return {
-        "_name": H.text_of(H.inner(card, "a", "product_name")),
-        "_brand": H.text_of(H.inner(card, "span", "brand")),
-        "_price": H.text_of(H.inner(H.inner(card, "span", "price"), "strong")),
-        "_href": H.attribute(H.first_tag(card, "a", "product_name"), "href"),
+        "_name": H.text_of(link),
+        "_brand": H.text_of(H.first(card, "span", "brand")),
+        "_price": H.text_of(H.first(H.first(card, "span", "price"), "strong")),
+        "_href": H.attribute(H.attrs_of(link), "href"),
     }
 
 
@@ -275,11 +277,10 @@ def _box_fields() -> dict[str, Column]:
 
 # --- P8 list with the id in a data attribute ----------------------------------------
 def _clip_raw(card: Column) -> dict[str, Column]:
-    price = H.inner_of_any(card, "price--num")
     return {
-        "_name": H.text_of(H.inner(card, "p", "name")),
-        "_price": H.text_of(price),
-        "_clip": H.attribute(H.first_tag(card, "span", "link--add--clip"), "data-clip"),
+        "_name": H.text_of(H.first(card, "p", "name")),
+        "_price": H.text_of(H.first(card, css_class="price--num")),
+        "_clip": H.attribute(H.attrs_of(H.first(card, "span", "link--add--clip")), "data-clip"),
     }
 
 
@@ -294,9 +295,10 @@ def _clip_fields() -> dict[str, Column]:
 
 # --- navigation links: the plainest card list -----------------------------------------
 def _link_raw(card: Column) -> dict[str, Column]:
+    link = H.first(card, "a")
     return {
-        "_href": H.attribute(H.first_tag(card, "a"), "href"),
-        "_name": H.text_of(H.inner(card, "a")),
+        "_href": H.attribute(H.attrs_of(link), "href"),
+        "_name": H.text_of(link),
     }
 
 
@@ -304,35 +306,33 @@ def _link_fields() -> dict[str, Column]:
     return {"itemCode": url_tail(F.col("_href")), "itemName": F.col("_name"), "itemUrl": F.col("_href")}
 
 
-_clean = lambda html: H.without_scripts(H.without_comments(html))
-
 LAYOUTS = {
     "comparison_table": Layout(
-        "kakaku", "", lambda h: H.cards_by_tag(_clean(h), "tr"), _comparison_raw, _comparison_specs, _comparison_fields,
+        "kakaku", "", lambda page: H.cards_by_tag(page, "tr"), _comparison_raw, _comparison_specs, _comparison_fields,
         lambda: F.col("_has_name") & (F.col("_name") != "")),
     "recycle_list": Layout(
-        "sofmap_used", "sofmap_used_notebooks", lambda h: H.cards_in_list(_clean(h), "sys-display-item"),
+        "sofmap_used", "sofmap_used_notebooks", lambda page: H.cards_in_list(page, "sys-display-item"),
         _recycle_raw, lambda: {"_specs": bracket_specs(F.col("_name"))}, _recycle_fields, lambda: F.col("_href").isNotNull() & _recycle_code().isNotNull()),
     "span_list": Layout(
-        "pcwrap", "pcwrap_notebooks", lambda h: H.cards_in_list(_clean(h), "list-item"),
+        "pcwrap", "pcwrap_notebooks", lambda page: H.cards_in_list(page, "list-item"),
         _span_raw, lambda: {"_specs": label_specs(F.col("_texts"))}, _span_fields, lambda: F.col("_href").isNotNull()),
     "comment_list": Layout(
-        "qualit", "qualit_notebooks", lambda h: H.cards_in_list(H.without_scripts(h), "innerList"),
+        "qualit", "qualit_notebooks", lambda page: H.cards_in_list(page, "innerList"),
         _comment_raw, lambda: {"_specs": slash_specs(F.col("_title"))}, _comment_fields, lambda: F.col("_title").isNotNull()),
     "line_boxes": Layout(
-        "pcbaru", "pcbaru_notebooks", lambda h: H.cards_by_tag(_clean(h), "div", "item_box"),
+        "pcbaru", "pcbaru_notebooks", lambda page: H.cards_by_tag(page, "div", "item_box"),
         _line_raw, _no_specs, _line_fields, lambda: url_number(F.col("_href"), "detail.php?id=").isNotNull()),
     "shop_boxes": Layout(
-        "sofmap", "sofmap_notebooks", lambda h: H.cards_by_tag(_clean(h), "div", "mainbox"),
+        "sofmap", "sofmap_notebooks", lambda page: H.cards_by_tag(page, "div", "mainbox"),
         _box_raw, _no_specs, _box_fields,
         lambda: F.col("_name").isNotNull() & F.col("_brand").isNotNull()
         & F.col("_href").isNotNull() & _box_price().isNotNull()),
     "clip_list": Layout(
-        "pckoubou", "", lambda h: H.cards_by_tag(_clean(h), "div", "info-area"), _clip_raw, _no_specs, _clip_fields,
+        "pckoubou", "", lambda page: H.cards_by_tag(page, "div", "info-area"), _clip_raw, _no_specs, _clip_fields,
         lambda: F.col("_name").isNotNull() & F.col("_clip").isNotNull()
         & parse_price(F.col("_price"), marks=",", strict=True).isNotNull()),
     "link_list": Layout(
-        "links", "", lambda h: H.cards_in_list(_clean(h)), _link_raw, _no_specs, _link_fields,
+        "links", "", lambda page: H.cards_in_list(page), _link_raw, _no_specs, _link_fields,
         lambda: F.col("_href").isNotNull()),
 }
 
@@ -341,19 +341,17 @@ LAYOUTS = {
 def extract_details(pages: DataFrame) -> DataFrame:
     """P6 one row of specs per detail page: JSON-LD sku and the th/td table."""
     carried = [c for c in pages.columns if c != "html"]
-    clean = _clean(F.col("html"))
-    tables = F.regexp_extract_all(
-        clean, F.lit(r"(?is)<table\b(?=[^>]*\bid\s*=\s*[\"']item_tbl_lay[\"'])[^>]*>(.*?)</table\s*>"), F.lit(1))
+    index = pages.select(*carried, json_ld_sku(H.json_ld(F.col("html"))).alias("sku"),
+                         H.tag_index(F.col("html")).alias("_page"))
+    tables = H.every(F.col("_page"), "table", attribute="id", value="item_tbl_lay")
     rows = F.flatten(F.transform(tables, lambda t: H.cards_by_tag(t, "tr")))
     pairs = F.transform(rows, lambda r: F.struct(
-        H.text_of(H.inner(r, "th")).alias("label"), H.text_of(H.inner(r, "td")).alias("value")))
+        H.text_of(H.first(r, "th")).alias("label"), H.text_of(H.first(r, "td")).alias("value")))
     useful = F.filter(pairs, lambda p: p["label"].isNotNull() & p["value"].isNotNull()
                       & ~p["value"].isin("－", "-", ""))
-    read = pages.select(
-        *carried,
-        json_ld_sku(H.json_ld(F.col("html"))).alias("sku"),
-        useful.alias("_pairs"),
-        H.text_of(H.inner(clean, "div", "evaluation_rating")).alias("_condition"))
+    read = index.select(
+        *carried, "sku", useful.alias("_pairs"),
+        H.text_of(H.first(F.col("_page"), "div", "evaluation_rating")).alias("_condition"))
     value = lambda label: F.try_element_at(F.transform(
         F.filter(F.col("_pairs"), lambda p: p["label"] == label), lambda p: p["value"]), F.lit(-1))
     storage = value("ストレージ")
@@ -382,11 +380,11 @@ CARDS_PER_PAGE = {"recycle_list": 30, "shop_boxes": 100, "span_list": 16}
 def total_hits(html: Column, layout: str) -> Column:
     """P9 number of hits a listing page announces; null when it shows none."""
     shown = {
-        "recycle_list": lambda: H.inner(html, "span", "sys-total"),
-        "shop_boxes": lambda: H.inner(H.inner(html, "p", "pg_number_set"), "span"),
-        "span_list": lambda: H.inner(H.inner(html, "div", "sort-left"), "b"),
-    }[layout]()
-    return F.replace(H.text_of(shown), F.lit(","), F.lit("")).try_cast("bigint")
+        "recycle_list": lambda page: H.first(page, "span", "sys-total"),
+        "shop_boxes": lambda page: H.first(H.first(page, "p", "pg_number_set"), "span"),
+        "span_list": lambda page: H.first(H.first(page, "div", "sort-left"), "b"),
+    }[layout]
+    return F.replace(H.text_of(let(H.tag_index(html), shown)), F.lit(","), F.lit("")).try_cast("bigint")
 
 
 def crawl_coverage(pages: DataFrame, layout: str, by: str = "search_query") -> DataFrame:

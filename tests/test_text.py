@@ -94,8 +94,23 @@ def test_entities(evaluate):
 
 def test_html_helpers(evaluate):
     page = '<div class="a big"><p>x <b> y </b> z</p></div><div class="ab"><p>no</p></div><div class="a"></div>'
-    assert evaluate([page], lambda h: H.text_of(H.inner(h, "p"))) == ["xyz"]
-    assert evaluate([page], lambda h: F.size(H.cards_by_tag(h, "div", "a"))) == [2]
-    assert evaluate([page], lambda h: H.inner(h, "div", "missing")) == [None]
-    assert evaluate(["<a href='/x?a=1&amp;b=2' data-k=v>"], lambda h: H.attribute(h, "href")) == ["/x?a=1&b=2"]
-    assert evaluate(["<a href='/x' data-k=v>"], lambda h: H.attribute(h, "data-k")) == ["v"]
+    over = lambda body: lambda h: text.let(H.tag_index(h), body)
+    assert evaluate([page], over(lambda x: H.text_of(H.first(x, "p")))) == ["xyz"]
+    assert evaluate([page], over(lambda x: F.size(H.cards_by_tag(x, "div", "a")))) == [2]
+    assert evaluate([page], over(lambda x: H.text_of(H.first(x, "div", "missing")))) == [None]
+    link = over(lambda x: H.attribute(H.attrs_of(H.first(x, "a")), "href"))
+    assert evaluate(["<a href='/x?a=1&amp;b=2' data-k=v>", "<p>"], link) == ["/x?a=1&b=2", None]
+    assert evaluate(["<a href='/x' data-k=v>"], over(lambda x: H.attribute(H.attrs_of(H.first(x, "a")), "data-k"))) == ["v"]
+
+
+def test_tag_index(evaluate):
+    over = lambda body: lambda h: text.let(H.tag_index(h), body)
+    told = over(lambda x: H.raw_text_of(H.first(x, css_class="k")))
+    nested = "<u class=\"j k\">1<u>2<u>3</u></u> < 4 <!-- <u class='k'>5</u> > --> 6 > 3></u>7"
+    assert evaluate([nested, "<U CLASS='k'>a<br>b", "<u class='kk'>a</u>", "", None], told) == ["123 < 4  6 > 3>", "ab", None, None, None]
+    assert evaluate([nested], over(H.comments)) == [[" <u class='k'>5</u> > "]]
+    assert evaluate(["a<!-- b <p>c</p>"], over(lambda x: H.text_of(H.first(x, "p")))) == ["c"]       # an open comment is none
+    scripts = "<p>a<script>'<p>'</script><!-- <script> --><style>p{}</style><b>&lt;i&gt;</b></p><p>b</p>"
+    assert evaluate([scripts], over(lambda x: F.transform(H.every(x, "p"), H.text_of))) == [["a<i>", "b"]]
+    deep = "<div class='k'>" + "<div>x" * 200 + "</div>" * 201 + "<div>out</div>"
+    assert evaluate([deep], over(lambda x: F.size(H.first(x, "div", "k")))) == [401]
