@@ -5,7 +5,7 @@ Each function takes text that already went through ``to_half_width``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from souba import fixed_values as fv
 from souba.functions.text import ANY_CASE, blank_to_null, first_match, let, literal_pattern, strip
@@ -120,34 +120,31 @@ def usb_ports(text: Column) -> Column:
 
 
 # --- H11 -------------------------------------------------------------------
-def _common_subsequence_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two short strings.
-
-    One table row per character of ``a``; row cell j holds the length for b[:j].
-    """
-    b_chars = F.split(b, "")
-    width = F.size(b_chars)
-    start = F.array_repeat(F.lit(0), width + 1)
-
-    def next_row(row: Column, ch: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            left = F.element_at(done, -1)
-            match = F.get(b_chars, j - 1) == ch
-            value = F.when(match, F.get(row, j - 1) + 1).otherwise(F.greatest(left, F.get(row, j)))
-            return F.concat(done, F.array(value))
-        return F.aggregate(F.sequence(F.lit(1), width), F.array(F.lit(0)), cell)
+def _words_in_order(text: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")), " ")
 
-    return F.element_at(F.aggregate(F.split(a, ""), start, next_row), -1)
 
+def _compared_brands() -> Column:
+    """The brands with, for each of their characters, the 64-bit mask of its places in the brand's words in order."""
+    rows = []
+    for i, brand in enumerate(fv.BRANDS):
+        text = " ".join(sorted(brand.split()))
+        masks = {c: sum(1 << k for k, other in enumerate(text) if other == c) for c in text}
+        pairs = [F.lit(x) for c, mask in masks.items() for x in (c, mask)]
+        rows.append(F.struct(F.lit(-i).alias("rank"), F.lit(brand).alias("brand"), F.lit(len(text)).alias("n"), F.lit((1 << len(text)) - 1).cast("bigint").alias("all"),
+                             F.create_map(*pairs).cast("map<string,bigint>").alias("masks")))
+    return F.array(*rows)
 
-def _words_in_order(text: Column) -> Column:
-    return F.array_join(F.array_sort(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")), " ")
 
+def _shared_in_order(chars: Column, brand: Column) -> Column:
+    """Length of the longest common subsequence of a text's characters and a brand.
 
-def token_sort_similarity(a: Column, b: Column) -> Column:
-    """0-100: twice the common subsequence over both lengths, words put in order first."""
-    return let(F.struct(_words_in_order(a).alias("a"), _words_in_order(b).alias("b")), lambda s: (
-        200.0 * _common_subsequence_length(s["a"], s["b"]) / (F.length(s["a"]) + F.length(s["b"]))))
+    One row of the usual table is a number whose zero bits mark where the length grows; a character changes the whole row
+    by one addition.
+    """
+    places = F.transform(chars, lambda c: F.coalesce(F.try_element_at(brand["masks"], c), F.lit(0).cast("bigint")))
+    row = F.aggregate(places, brand["all"], lambda v, m: (v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(brand["all"]))
+    return brand["n"] - F.bit_count(row)
 
 
 def known_brand(raw: Column) -> Column:
@@ -159,21 +156,17 @@ def known_brand(raw: Column) -> Column:
 def closest_brand(raw: Column) -> Column:
     """H11 fuzzy part: best brand at or above the cutoff (ties: first listed), else null.
 
-    A brand is compared only when its length and the characters it shares with
-    the text leave the cutoff within reach.
+    The score, 0 to 100, is twice the common subsequence over both lengths, words put in order first. A brand is
+    compared only when its length and the characters it shares with the text leave the cutoff within reach.
     """
     def best(word: Column) -> Column:
-        chars = F.split(word, "")
-
-        def reachable(b: Column) -> Column:
-            shared = F.least(F.size(F.filter(chars, lambda c: b.contains(c))), F.length(b))
-            return 200.0 * shared >= fv.BRAND_FUZZY_CUTOFF * (F.length(word) + F.length(b))
+        size = F.length(word)
 
-        scored = F.transform(
-            F.filter(F.array(*[F.struct(F.lit(-i).alias("rank"), F.lit(b).alias("brand"))
-                               for i, b in enumerate(fv.BRANDS)]), lambda s: reachable(s["brand"])),
-            lambda s: F.struct(token_sort_similarity(word, s["brand"]).alias("score"), s["rank"], s["brand"]))
-        return F.array_max(F.filter(scored, lambda s: s["score"] >= fv.BRAND_FUZZY_CUTOFF))["brand"]
+        def scored(chars: Column) -> Column:
+            shared = lambda s: F.least(F.size(F.filter(chars, lambda c: s["brand"].contains(c))), s["n"])
+            near = F.filter(_compared_brands(), lambda s: 200.0 * shared(s) >= fv.BRAND_FUZZY_CUTOFF * (size + s["n"]))
+            return F.transform(near, lambda s: F.struct((200.0 * _shared_in_order(chars, s) / (size + s["n"])).alias("score"), s["rank"], s["brand"]))
+        return F.array_max(F.filter(let(F.split(word, ""), scored), lambda s: s["score"] >= fv.BRAND_FUZZY_CUTOFF))["brand"]
 
     return F.when(raw.isNotNull(), let(_words_in_order(raw), best))
 
@@ -186,6 +179,20 @@ def normalize_brand(raw: Column) -> Column:
     return let(raw, lambda r: F.coalesce(known_brand(r), closest_brand(r), r))
 
 
+def with_brand(df: DataFrame, raw: str, brand: str = "brand") -> DataFrame:
+    """H11 as a column of a table: what the dictionary leaves over is compared once per distinct text and joined back.
+
+    Texts repeat far more than they differ; the join is left to the optimizer, which broadcasts the few or splits a
+    text that many rows share. A null text has no brand.
+    """
+    named = df.withColumn("_known", known_brand(F.col(raw)))
+    left_over = named.where(F.col("_known").isNull() & F.col(raw).isNotNull()).select(F.col(raw).alias("_raw")).distinct()
+    closest = left_over.select("_raw", closest_brand(F.col("_raw")).alias("_closest"))
+    asked = F.when(F.col("_known").isNull(), F.col(raw))
+    joined = named.join(closest, asked == F.col("_raw"), "left")
+    return joined.withColumn(brand, F.coalesce("_known", "_closest", F.col(raw))).drop("_known", "_raw", "_closest")
+
+
 # --- H34 optional fields ----------------------------------------------------
 def resolution(text: Column) -> Column:
     return F.coalesce(

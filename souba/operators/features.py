@@ -7,13 +7,16 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from souba import fixed_values as fv
 from souba.operators.evaluation import regression_metrics
 from souba.schemas import CATEGORICAL, FEATURE_INPUTS, FEATURES
 
 
+SPLIT_BITS = 15
+
+
 # --- features ----------------------------------------------------------------
 def _number(text: Column, pattern: str, kind: str) -> Column:
     return F.nullif(F.regexp_extract(text.cast("string"), pattern, 1), F.lit("")).try_cast(kind)
@@ -87,28 +90,28 @@ def exact_split(df: DataFrame, ids: list[str], ratio: float = fv.TRAIN_RATIO,
     """E4 / F6 mark exactly ``int(ratio * n)`` shuffled rows with ``is_train``.
 
     The shuffled order is that of a hash of the ids (60 bits), so the split is a
-    threshold on the hash. The rows are read twice: once to count them per 24
-    bits, once to be marked. Sums per 12 bits, then the counts within the 12 bits
-    the cut falls into, find the cell of the cut, whose few hashes are in order.
-    The windows run over 4,096 rows at most; the rows themselves do not move.
-    ``ids`` must tell rows apart.
+    threshold on the hash. It is found bit by bit: rows are counted by their
+    next ``SPLIT_BITS`` leading bits, then those of the cell that holds the cut by
+    the bits that follow, until the cut lies between two cells. A round brings
+    at most 2^15 counts to the driver; the rows and their keys don't move.
+    ``ids`` must tell rows apart: rows of one hash fall on one side.
     """
     key = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ids], F.lit(str(seed)))), 1, 15), 16, 10).cast("bigint")
-    cells = df.select(key.alias("_key")).groupBy(F.shiftright("_key", 36).alias("_cell")).agg(
-        F.count(F.lit(1)).alias("_n"), F.collect_list("_key").alias("_keys"))
-    upto = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-
-    def of_cut(slots: DataFrame, cut: Column) -> DataFrame:
-        """The slot the cut falls into, with the number of its rows before the cut."""
-        summed = slots.withColumns({"_upto": F.sum("_n").over(upto), "_cut": cut})
-        return summed.where((F.col("_upto") >= F.col("_cut")) & (F.col("_upto") - F.col("_n") < F.col("_cut"))).withColumn(
-            "_room", (F.col("_cut") - F.col("_upto") + F.col("_n")).cast("int"))
-    coarse = cells.groupBy(F.shiftright("_cell", 12).alias("_slot")).agg(F.sum("_n").alias("_n"))
-    coarse = of_cut(coarse, F.floor(F.sum("_n").over(Window.partitionBy()) * ratio)).select(F.col("_slot").alias("_coarse"), F.col("_room").alias("_cut"))
-    inside = cells.withColumn("_coarse", F.shiftright("_cell", 12)).join(F.broadcast(coarse), "_coarse")   # one row
-    fine = of_cut(inside.withColumnRenamed("_cell", "_slot"), F.col("_cut"))
-    threshold = fine.agg(F.max(F.element_at(F.sort_array("_keys"), F.col("_room"))))
-    return df.withColumn("is_train", F.coalesce(key <= threshold.scalar(), F.lit(False)))
+    keys, taken, cell, room = df.select(key.alias("_key")), 0, 0, None
+    while taken < 60:
+        inside = keys.where(F.shiftright("_key", 60 - taken) == cell) if taken else keys
+        taken += SPLIT_BITS
+        counts = sorted(inside.groupBy(F.shiftright("_key", 60 - taken).alias("cell")).count().collect())
+        room = int(sum(n for _, n in counts) * ratio) if room is None else room
+        if room == 0:                                            # the cut lies before the first row
+            return df.withColumn("is_train", F.lit(False))
+        for cell, n in counts:
+            if room <= n:
+                break
+            room -= n
+        if room == n:                                            # the whole cell is before the cut
+            break
+    return df.withColumn("is_train", F.shiftright(key, 60 - taken) <= cell)
 
 
 def split_by_product(df: DataFrame, product: str = "id", ratio: float = fv.TRAIN_RATIO,

@@ -155,7 +155,7 @@ SELECT p_partkey, {_words('p_size', *_RAW_BRANDS)} AS raw, {_words('p_size', *_K
 def normalize_brand(spark, sf_dir):
     """H11 exact and fuzzy"""
     raw = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_words('p_size', *_RAW_BRANDS)} AS raw")
-    return raw.withColumn("brand", specs.normalize_brand(F.col("raw")))
+    return specs.with_brand(raw, "raw")
 
 
 _SHOP_LABELS = ["Lenovo(レノボジャパン)", "FUJITSU(富士通)", "DELL(デル)", "hp(エイチピー)", "VAIO（バイオ）",

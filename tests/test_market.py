@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from souba.operators import evaluation, facts, market
-from souba.operators.summary import MOMENTS, grouped_summary
+from souba.operators.summary import CELL_BITS, MOMENTS, grouped_summary, order_key, value_of_key
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +58,29 @@ def test_summary_without_keys_or_rows(prices, rows):
     assert grouped_summary(df.where("g = 'nul'"), ["g"], "price").count() == 0
 
 
+def test_order_keys_sort_as_doubles_do(spark):
+    rng = random.Random(1)
+    values = [struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))[0] for _ in range(5000)]
+    values = [v for v in values if v == v] + [0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308, math.inf, -math.inf, 1e22]
+    values += [2.0**e for e in range(-1074, 1024, 7)] + [math.nextafter(2.0**e, 0) for e in range(-1073, 1024, 7)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("k", order_key(F.col("v")))
+    got = sorted((r["v"], r["k"], r["back"]) for r in df.withColumn("back", value_of_key(F.col("k"))).collect())
+    assert all((a[0] < b[0]) == (a[1] < b[1]) for a, b in zip(got, got[1:]))
+    assert all(v == back for v, _, back in got if math.isfinite(v))
+
+
+def test_a_million_values_within_one_percent_spread(spark):
+    """Each round ranks few cells: no task of the ranking sees a large part of the values."""
+    df = spark.range(1_000_000).select((F.lit(1000.0) + F.col("id") * 1e-5).alias("price"), F.lit("g").alias("g"))
+    summary = grouped_summary(df, ["g"], "price", {"median": (0.5, "linear"), "p99": (0.99, "nearest")})
+    row = summary.first()
+    assert row["median"] == pytest.approx((1000 + 499_999e-5 + 1000 + 500_000e-5) / 2, abs=1e-12) and row["p99"] == 1000.0 + 989_999 * 1e-5
+    key = order_key(F.col("price"))
+    for above, below in zip((64, *CELL_BITS), CELL_BITS):
+        cells = df.groupBy(F.shiftright(key, min(above, 63)).alias("a")).agg(F.count_distinct(F.shiftright(key, below)).alias("n"))
+        assert cells.agg(F.max("n")).first()[0] <= 1 << 15
+
+
 def _history(spark, rows):
     return spark.createDataFrame(rows, "display_name string, source string, price bigint, scraped_at timestamp")
 

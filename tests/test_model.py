@@ -62,6 +62,19 @@ def test_split_is_exact_and_repeatable(spark, n, ratio):
     assert first == again
 
 
+def test_split_is_found_by_counts(spark, monkeypatch):
+    """No list of keys, few bits a round, cuts at either end, rows of one hash on one side."""
+    monkeypatch.setattr(features, "SPLIT_BITS", 4)
+    df = spark.range(300).withColumn("id", F.col("id").cast("string"))
+    for ratio in (0.0, 1 / 300, 0.5, 299 / 300, 1.0):
+        split = features.exact_split(df, ["id"], ratio)
+        assert split.where("is_train").count() == int(ratio * 300)
+        assert "collect_list" not in split._jdf.queryExecution().toString()
+    assert features.exact_split(df.limit(0), ["id"]).count() == 0
+    same = features.exact_split(df.withColumn("id", F.lit("x")), ["id"], 0.5)
+    assert same.where("is_train").count() in (0, 300)
+
+
 def test_split_by_product_keeps_products_together(spark):
     df = spark.range(600).select((F.col("id") % 50).alias("id"), F.col("id").alias("row"))
     sides = features.split_by_product(df).groupBy("id").agg(F.count_distinct("is_train").alias("k"), F.max("is_train").alias("t"))

@@ -77,12 +77,23 @@ def _lcs(a, b):
     return table[-1][-1]
 
 
-def test_similarity_against_brute_force(spark):
-    pairs = [("lenvo", "Lenovo"), ("abcabc", "cbacba"), ("Dynabok", "Dynabook"), ("a", "b"), ("xaybzc", "abc"), ("Sharp", "Sharp")]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    out = df.select("a", "b", specs.token_sort_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+def test_common_subsequence_against_brute_force(spark):
+    import random
+    from souba import fixed_values as fv
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("LenovaTshibAcrHPw-k ") for _ in range(rnd.randint(1, 20))) for _ in range(60)] + ["Hewlett-Packard", "aaaaaaa"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    out = df.select("w", F.transform(specs._compared_brands(), lambda s: specs._shared_in_order(F.split("w", ""), s)).alias("n")).collect()
     for r in out:
-        assert r["s"] == pytest.approx(200 * _lcs(r["a"], r["b"]) / (len(r["a"]) + len(r["b"])))
+        assert r["n"] == [_lcs(r["w"], b) for b in fv.BRANDS]
+
+
+def test_with_brand_compares_distinct_texts(spark):
+    rows = [(i, w) for i, w in enumerate(["lenvo", "Zzz", None, "", "HP", "lenvo", "ZZZ"] * 20)]
+    out = specs.with_brand(spark.createDataFrame(rows, "i int, w string"), "w")
+    assert out.columns == ["i", "w", "brand"]
+    named = {"lenvo": "Lenovo", "HP": "HP"}
+    assert sorted((r["i"], r["brand"]) for r in out.collect()) == [(i, named.get(w, w)) for i, w in rows]
 
 
 def test_closest_brand_prefilter_loses_nothing(spark):
