@@ -126,14 +126,12 @@ def _words_in_order(text: Column) -> Column:
 
 def _compared_brands() -> Column:
     """The brands with, for each of their characters, the 64-bit mask of its places in the brand's words in order."""
-    rows = []
-    for i, brand in enumerate(fv.BRANDS):
+    def told(rank: int, brand: str) -> str:
         text = " ".join(sorted(brand.split()))
         masks = {c: sum(1 << k for k, other in enumerate(text) if other == c) for c in text}
-        pairs = [F.lit(x) for c, mask in masks.items() for x in (c, mask)]
-        rows.append(F.struct(F.lit(-i).alias("rank"), F.lit(brand).alias("brand"), F.lit(len(text)).alias("n"), F.lit((1 << len(text)) - 1).cast("bigint").alias("all"),
-                             F.create_map(*pairs).cast("map<string,bigint>").alias("masks")))
-    return F.array(*rows)
+        pairs = ", ".join(f"'{c}', {mask}L" for c, mask in masks.items())
+        return f"named_struct('rank', {-rank}, 'brand', '{brand}', 'n', {len(text)}, 'all', {(1 << len(text)) - 1}L, 'masks', map({pairs}))"
+    return F.expr(f"array({', '.join(told(i, brand) for i, brand in enumerate(fv.BRANDS))})")
 
 
 def _shared_in_order(chars: Column, brand: Column) -> Column:
@@ -149,8 +147,8 @@ def _shared_in_order(chars: Column, brand: Column) -> Column:
 
 def known_brand(raw: Column) -> Column:
     """H11 exact part: the brand whose name equals the text but for case, else null."""
-    names = F.create_map(*[F.lit(x) for b in fv.BRANDS for x in (b.lower(), b)])
-    return F.try_element_at(names, F.lower(raw))
+    names = ", ".join(f"'{b.lower()}', '{b}'" for b in fv.BRANDS)
+    return F.try_element_at(F.expr(f"map({names})"), F.lower(raw))
 
 
 def closest_brand(raw: Column) -> Column:

@@ -8,8 +8,9 @@ Whole numbers (yen) have a bounded number of values per group, so their pairs ar
 ranked by a window over the pairs. Real numbers are ranked by their bits: a double
 becomes a 64-bit whole number of the same order, and a wanted rank is found by
 counts per leading bits, then, among the values of that cell only, per the bits
-that follow. Four rounds settle all 64, and no round ranks more than 2^19 cells of
-a group in the first, 2^15 in the others, so that no distribution fills one task.
+that follow. Three rounds settle all 64. The first ranks the cells of a group, 2^12
+of them per doubling of the value; the others at most 2^20 within one cell, so that
+no distribution fills one task.
 The column's type chooses, never its size.
 """
 
@@ -20,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType
 
-CELL_BITS = (45, 30, 15, 0)      # bits below a cell in each round: 19 + 15 + 15 + 15 bits are looked at
+CELL_BITS = (40, 20, 0)          # bits below a cell in each round: 24 + 20 + 20 bits are looked at
 MOMENTS = ("count", "mean", "std", "min", "max")
 
 

@@ -70,7 +70,7 @@ def test_order_keys_sort_as_doubles_do(spark):
 
 
 def test_a_million_values_within_one_percent_spread(spark):
-    """Each round ranks few cells: no task of the ranking sees a large part of the values."""
+    """No round ranks a large part of the values: the first has few cells, the next those of one cell."""
     df = spark.range(1_000_000).select((F.lit(1000.0) + F.col("id") * 1e-5).alias("price"), F.lit("g").alias("g"))
     summary = grouped_summary(df, ["g"], "price", {"median": (0.5, "linear"), "p99": (0.99, "nearest")})
     row = summary.first()
@@ -78,7 +78,7 @@ def test_a_million_values_within_one_percent_spread(spark):
     key = order_key(F.col("price"))
     for above, below in zip((64, *CELL_BITS), CELL_BITS):
         cells = df.groupBy(F.shiftright(key, min(above, 63)).alias("a")).agg(F.count_distinct(F.shiftright(key, below)).alias("n"))
-        assert cells.agg(F.max("n")).first()[0] <= 1 << 15
+        assert cells.agg(F.max("n")).first()[0] < 50_000
 
 
 def _history(spark, rows):
