@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from souba.plans import catalog_queries, market_queries, model_queries, page_queries, text_queries  # noqa: F401
+    from souba.plans import catalog_queries, market_queries, model_queries, page_queries, stream_queries, text_queries  # noqa: F401
     from souba.plans import registry
     return registry
 

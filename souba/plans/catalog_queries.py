@@ -296,11 +296,11 @@ def history_partitions(spark, sf_dir):
 
 
 # --- two nightly runs ----------------------------------------------------------------------------
-_SHOP = "CASE WHEN p_size <= 20 THEN 'sofmap' WHEN p_size <= 45 THEN 'qualit' END"
+_SHOP = "CASE WHEN p_size <= 20 THEN 'sofmap' WHEN p_size <= 45 THEN 'qualit' ELSE 'pcwrap' END"
 
 
 @query("catalogue_two_runs", f"""
-WITH p AS (SELECT *, {_SHOP} AS source, p_size <= 10 AS again FROM part WHERE p_size <= 45)
+WITH p AS (SELECT *, {_SHOP} AS source, p_size <= 10 OR p_size > 45 AS again FROM part)
 SELECT source, 'P' || CAST(p_partkey AS VARCHAR) AS item_code, CASE WHEN again AND p_size % 3 = 0 THEN NULL ELSE p_brand END AS shop_name,
        source = 'qualit' OR again AS is_active, CASE WHEN again THEN 2 ELSE 1 END::BIGINT AS observations,
        CASE WHEN again THEN '2026-02-02' ELSE '2026-02-01' END AS last_seen
@@ -308,16 +308,17 @@ FROM p""")
 def catalogue_two_runs(spark, sf_dir):
     """A6 A7 C5 two runs written and read back: nulls overwrite, unseen products retire, other sources stay, a repeat counts once"""
     folder = f"{shared_dir(spark)}/two-runs-{uuid.uuid4().hex}"
-    base = table(spark, sf_dir, "part").where("p_size <= 45").selectExpr(
+    base = table(spark, sf_dir, "part").selectExpr(
         "'P' || p_partkey AS itemCode", "p_name AS itemName", "'https://s/' || p_partkey AS itemUrl", "CAST(p_retailprice AS BIGINT) AS itemPrice",
         "p_brand AS shopName", "'q' AS search_query", "true AS is_active", "p_size", f"{_SHOP} AS shop")
 
     def of(source, rows):
         return rows.where(F.col("shop") == source).drop("shop", "p_size")
-    jobs.nightly_run(spark, {"sofmap": of("sofmap", base), "qualit": of("qualit", base)}, f"{folder}/products", f"{folder}/history", dt.datetime(2026, 2, 1))
-    second = base.where("p_size <= 10").withColumn("shopName", F.when(F.col("p_size") % 3 != 0, F.col("shopName")))
+    shops = ("sofmap", "qualit", "pcwrap")
+    jobs.nightly_run(spark, {s: of(s, base) for s in shops}, f"{folder}/products", f"{folder}/history", dt.datetime(2026, 2, 1))
+    second = base.where("p_size <= 10 OR p_size > 45").withColumn("shopName", F.when(F.col("p_size") % 3 != 0, F.col("shopName")))
     for _ in range(2):
-        jobs.nightly_run(spark, {"sofmap": of("sofmap", second)}, f"{folder}/products", f"{folder}/history", dt.datetime(2026, 2, 2), run_id="second")
+        jobs.nightly_run(spark, {s: of(s, second) for s in ("sofmap", "pcwrap")}, f"{folder}/products", f"{folder}/history", dt.datetime(2026, 2, 2), run_id="second")
     seen = sinks.read_history(spark, f"{folder}/history").groupBy("source", "item_code").agg(F.count(F.lit(1)).alias("observations"))
     products = sinks.Snapshots(spark, f"{folder}/products").read(jobs.CATALOGUE)
     return products.join(seen, ["source", "item_code"]).select(

@@ -13,6 +13,7 @@ from souba.plans import jobs
 from souba.schemas import PRODUCT_KEY, PRODUCTS
 from souba.sources import sinks
 from souba.streaming import jobs as streams
+from souba.streaming.ledger import RunLedger
 
 
 RUN = uuid.uuid4().hex   # checkpoints outlive a test run; each run is a stream of its own
@@ -88,3 +89,32 @@ def test_stale_products_without_join(spark, rows):
     out = catalog.deactivate_stale(df, ["a"], F.lit(at(2026, 1, 2)))
     assert [r["is_active"] for r in rows(out.orderBy("item_code"))] == [False, True, True]
     assert PRODUCT_KEY == ["source", "item_code"] and "last_seen_at" in PRODUCTS.fieldNames()
+
+
+def test_ledger_keeps_a_run_open_until_it_is_closed(spark, tmp_path):
+    at, ledger = dt.datetime, RunLedger(spark, str(tmp_path / "runs"), "s")
+    assert ledger.to_retire() == ([], None)
+    assert ledger.begin(0, at(2026, 1, 1)) == at(2026, 1, 1)
+    ledger.finish(0, jobs.RunReport("s-0", ["a", "b"], {}, {"a": 2, "b": 1}, {"a": 1}))
+    again = RunLedger(spark, str(tmp_path / "runs"), "s")                       # another process
+    assert again.begin(0, at(2026, 1, 9)) == at(2026, 1, 1)                     # a second try keeps its time
+    assert again.begin(1, at(2026, 1, 2)) == at(2026, 1, 2)
+    again.finish(1, jobs.RunReport("s-1", ["c"], {"b": "broken"}))
+    assert again.to_retire() == (["a", "c"], at(2026, 1, 1))
+    again.close()
+    assert again.to_retire() == ([], None)
+    assert RunLedger(spark, str(tmp_path / "runs"), "other").to_retire() == ([], None)
+
+
+def test_exact_trend_counts_late_rows(spark, rows, tmp_path):
+    at = dt.datetime
+    landed = str(tmp_path / "in")
+    data = [[("a", p, at(2026, 1, 10, h)) for h, p in enumerate([5, 5, 9, 30])], [("a", 7, at(2026, 1, 10, 9)), ("a", 40, at(2026, 1, 12)), ("a", None, at(2026, 1, 12))],
+            [("a", 1, at(2026, 1, 1)), ("a", 2, at(2026, 1, 1)), ("a", 50, at(2026, 1, 12))]]
+    schema, late = "source string, price bigint, scraped_at timestamp", 0
+    for k, some in enumerate(data):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(landed)
+        stream = streams.landed_table(spark, landed, spark.createDataFrame([], schema).schema)
+        late += streams.exact_trend(stream, str(tmp_path / "counts"), f"exact-{RUN}", delay="1 day")
+    got = {r["day_start"]: (r["count"], r["mean"], r["median_low"]) for r in rows(streams.read_trend(spark, str(tmp_path / "counts")))}
+    assert got == {at(2026, 1, 10): (5, 56 / 5, 7), at(2026, 1, 12): (2, 45.0, 40)} and late == 2
