@@ -121,6 +121,29 @@ def test_load_refuses_other_pipelines(products, tmp_path):
         features.load_model(path)
 
 
-def test_cross_validation(products):
-    fitted = features.cross_validate(products, folds=2, max_iter=2, maxDepth=2)
-    assert len(fitted.avgMetrics) == 1 and fitted.avgMetrics[0] > 0
+def test_cross_validation(products, rows):
+    apart = products.withColumn("price", F.col("price") + F.col("cpu_gen").cast("int") * 3000)
+    got = {r["fold"]: r for r in rows(features.cross_validate(apart, ["id"], folds=3, max_iter=4, maxDepth=4))}
+    held = {r["fold"]: r["n"] for r in rows(apart.groupBy(features.fold_of(["id"], 3).alias("fold")).agg(F.count("*").alias("n")))}
+    assert {k: r["n"] for k, r in got.items()} == held and sum(held.values()) == 240
+    assert all(r["mae"] < r["mae_of_median"] / 2 for r in got.values())
+
+
+def test_equal_rows_become_one_weighted_row(products, rows):
+    twice = products.union(products).union(products.where("id = '7'"))
+    table, middle, spread = features.training_table(twice)
+    assert table.agg(F.sum("weight")).first()[0] == 481 and table.count() <= 240
+    prices = sorted(r["price"] for r in rows(twice))
+    assert middle == prices[len(prices) // 2] and spread == pytest.approx(sum(abs(p - middle) for p in prices) / len(prices))
+    none, _, _ = features.training_table(products.limit(0))
+    assert none.count() == 0
+
+
+def test_boosting_learns_what_one_tree_cannot(spark):
+    """The bar of the registered rows: a model of one round misses it, one of some dozen rounds does not."""
+    rows = model_queries._training_rows(spark, "/root/testdata/sf0.001")
+    train, held = rows.where("is_train"), rows.where("NOT is_train")
+    middle = train.agg(F.percentile("price", 0.5)).first()[0]
+    plain = held.agg(F.avg(F.abs(F.col("price") - middle))).first()[0]
+    error = lambda rounds: features.evaluate(features.fit_price_model(train, rounds), held).first()["mae"]
+    assert error(1) > plain * model_queries._NEAR > error(40)
