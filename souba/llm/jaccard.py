@@ -40,7 +40,7 @@ K = 2                    # frequent shingles in a combination
 FREQUENT = 16            # groups a shingle is in, to be frequent
 BANDS = 8                # pairs of minimum hashes near copies are collapsed by
 CODE_BITS = 24           # that tell shingles of one bucket apart, to class them
-FLUSH = 2_000_000        # shingles a task holds before it passes them on
+FLUSH = 500_000          # shingles a task holds before it passes them on
 _MULTIPLIERS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 2 * BANDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
