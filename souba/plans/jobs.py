@@ -11,8 +11,9 @@ import logging
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from souba.operators import catalog, extraction, features, noise
 from souba.schemas import ORDER_COLUMNS, PRODUCT_KEY, PRODUCTS
@@ -20,6 +21,7 @@ from souba.session import shared_dir
 from souba.sources import html_pages, json_pages, sinks
 
 log = logging.getLogger(__name__)
+SPEC_COLUMNS = ("brand", "model", "cpu", "memory", "ssd", "hdd", "os", "display_size")
 CATALOGUE = T.StructType([T.StructField("id", T.StringType()), *PRODUCTS.fields])
 
 
@@ -56,6 +58,14 @@ def page_listings(pages: DataFrame, layout: str, scraped_at: str, details: DataF
     return extraction.extract_specs(named)
 
 
+def _observed(counts: Observation) -> dict[str, int]:
+    """What a finished job has counted; nothing where its rows were known to be none, so that no task ran."""
+    try:
+        return counts.get
+    except Py4JError:
+        return {}
+
+
 @dataclass
 class RunReport:
     """What a nightly run did."""
@@ -63,8 +73,22 @@ class RunReport:
     run_id: str
     sources: list[str] = field(default_factory=list)
     failed: dict[str, str] = field(default_factory=dict)
-    scraped: dict[str, int] = field(default_factory=dict)   # items per source, and those with a URL not yet in the catalogue
-    new: dict[str, int] = field(default_factory=dict)
+    scraped: dict[str, int] = field(default_factory=dict)   # items per source
+    new: dict[str, int] = field(default_factory=dict)       # products per source that the catalogue did not have
+    filled: dict[str, dict[str, float]] = field(default_factory=dict)    # D16 share of items with a value, per source and column
+    broken: dict[str, dict[str, int]] = field(default_factory=dict)      # B18 items per source that break a rule of the catalogue
+    observations: int = 0                                   # prices appended to the history
+
+
+def _landing_counts(columns: list[str]) -> list[Column]:
+    """What is counted while a source's items are written: items, values per column, broken rules."""
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    rules = {"no_item_code": ["item_code"], "no_item_name": ["item_name"], "no_item_url": ["item_url"], "no_price": ["itemPrice"]}
+    return [
+        F.count(F.lit(1)).alias("scraped"),
+        *[F.count_if(~blank(c)).alias(f"filled_{c}") for c in columns if c in SPEC_COLUMNS],
+        *[F.count_if(blank(c)).alias(f"broken_{rule}") for rule, (c,) in rules.items() if c in columns],
+        *([F.count_if(~F.col("item_url").startswith("https://")).alias("broken_url_not_https")] if "item_url" in columns else [])]
 
 
 def nightly_run(spark: SparkSession, listings: dict[str, DataFrame], catalogue_path: str, history_path: str,
@@ -76,15 +100,21 @@ def nightly_run(spark: SparkSession, listings: dict[str, DataFrame], catalogue_p
     the catalogue partitions of the run's sources are read and rewritten. A run
     that is tried again under its ``run_id`` replaces its own observations.
     ``retire=False`` leaves unseen products alone: for parts of a run, after the
-    last of which ``retire_unseen`` looks at the whole.
+    last of which ``retire_unseen`` looks at the whole. The report's counts are
+    observed by the jobs that write; nothing is read again for them.
     """
     report = RunReport(run_id or uuid.uuid4().hex)
     run = f"{shared_dir(spark)}/runs/{report.run_id}-{uuid.uuid4().hex}"
     stamp = F.lit(seen_at).cast("timestamp")
     for source, rows in listings.items():
         try:
-            catalog.standardise(rows, source, stamp).write.parquet(f"{run}/{source}")
+            items, counts = catalog.standardise(rows, source, stamp), Observation()
+            items.observe(counts, *_landing_counts(items.columns)).write.parquet(f"{run}/{source}")
             report.sources.append(source)
+            told = _observed(counts)
+            report.scraped[source] = told.get("scraped", 0)
+            report.filled[source] = {k[7:]: v / max(told["scraped"], 1) for k, v in told.items() if k.startswith("filled_")}
+            report.broken[source] = {k[7:]: v for k, v in told.items() if k.startswith("broken_")}
         except Exception as error:  # noqa: BLE001 - one shop's trouble must not stop the others
             log.warning("source %s failed: %s", source, error)
             report.failed[source] = str(error)
@@ -94,22 +124,25 @@ def nightly_run(spark: SparkSession, listings: dict[str, DataFrame], catalogue_p
 
     known = sinks.Snapshots(spark, catalogue_path)
     current = known.read(CATALOGUE, report.sources)
-    for row in catalog.run_counters(current, landed).collect():      # one row per source
-        report.scraped[row["source"]], report.new[row["source"]] = row["items_scraped"], row["items_new"]
     order = [*ORDER_COLUMNS, "item_url", "item_name", "itemPrice", "search_query"]
     one_each = catalog.keep_first(landed.where(F.col("item_code").isNotNull()), PRODUCT_KEY,
                                   [F.col(c).asc_nulls_last() for c in order if c in landed.columns])
     batch = one_each.select(*[c for c in PRODUCTS.fieldNames() if c in one_each.columns])
-    merged = catalog.upsert_products(current, batch)
+    merged, counts = catalog.upsert_products(current, batch), Observation()
+    merged = merged.observe(counts, *[F.count_if(F.col("id").isNull() & (F.col("source") == s)).alias(s) for s in report.sources])      # ids are given next
     merged = with_product_id(merged)
     if retire:
         merged = catalog.deactivate_unseen(merged, batch, report.sources)
     known.write(merged.select(CATALOGUE.fieldNames()))
+    told = _observed(counts)
+    report.new = {s: told.get(s, 0) for s in report.sources}
     known.retire()
 
     products = known.read(CATALOGUE, report.sources)
     observed = catalog.price_observations(landed.withColumn("scraped_at", stamp), products)
-    sinks.append_history(observed, history_path, run=report.run_id)
+    counts = Observation()
+    sinks.append_history(observed.observe(counts, F.count(F.lit(1)).alias("n")), history_path, run=report.run_id)
+    report.observations = _observed(counts).get("n", 0)
     return report
 
 

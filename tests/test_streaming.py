@@ -91,6 +91,22 @@ def test_stale_products_without_join(spark, rows):
     assert PRODUCT_KEY == ["source", "item_code"] and "last_seen_at" in PRODUCTS.fieldNames()
 
 
+def test_report_is_observed_by_the_writing_jobs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "run_counters", None)
+    schema = "itemCode string, itemName string, itemUrl string, itemPrice bigint, shopName string, search_query string, is_active boolean, cpu string"
+    make = lambda rows: spark.createDataFrame([(c, "n", u, p, "s", "q", True, cpu) for c, u, p, cpu in rows], schema)
+    rows = [("1", "https://a", 5, "i5"), ("1", "https://a", 6, "i5"), ("2", "http://b", None, None), (None, None, 7, "")]
+    broken = make(rows).withColumn("itemPrice", F.raise_error("down").cast("bigint"))
+    run = lambda listings, day: jobs.nightly_run(spark, listings, str(tmp_path / "p"), str(tmp_path / "h"), dt.datetime(2026, 3, day))
+    first = run({"qualit": make(rows), "pcwrap": make([]), "sofmap": broken}, 1)
+    assert first.scraped == {"qualit": 4, "pcwrap": 0} and first.new == {"qualit": 2, "pcwrap": 0} and set(first.failed) == {"sofmap"}
+    assert first.filled["qualit"] == {"cpu": 0.5} and first.observations == 2
+    assert first.broken["qualit"] == {"no_item_code": 1, "no_item_name": 0, "no_item_url": 1, "no_price": 1, "url_not_https": 1}
+    second = run({"qualit": make([("2", "https://b", 9, "i5"), ("3", "https://c", 9, "i5")])}, 2)
+    assert second.new == {"qualit": 1} and second.observations == 2
+    assert run({"pcwrap": make([])}, 3).new == {"pcwrap": 0}
+
+
 def test_ledger_keeps_a_run_open_until_it_is_closed(spark, tmp_path):
     at, ledger = dt.datetime, RunLedger(spark, str(tmp_path / "runs"), "s")
     assert ledger.to_retire() == ([], None)
