@@ -110,10 +110,10 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = find_runs(codes, np.concatenate([[0], np.cumsum([len(w) for w in texts])]).astype(np.int64))
         runs = pa.array([[dict(zip(("start", "length", "period"), r)) for r in one] for one in found], kind)
         collapsed = pa.array([collapse(w, r) for w, r in zip(texts, found)], pa.binary())
-        return with_columns(part.drop_columns(["_text"]), runs=runs, collapsed=collapsed.cast(pa.string()))
+        return with_columns(part.drop_columns(["_periodic_text"]), runs=runs, collapsed=collapsed.cast(pa.string()))
 
     for batch in batches:
-        column, first, words, n = batch.column("_text").cast(pa.binary()), 0, [], 0
+        column, first, words, n = batch.column("_periodic_text").cast(pa.binary()), 0, [], 0
         for i in range(batch.num_rows):
             words.append((column[i].as_py() or b"").split())
             n += len(words[-1])
@@ -131,7 +131,7 @@ def periodic_runs(docs: DataFrame, text: str = "text") -> DataFrame:
     don't meet; an empty table stays empty. Columns named like a result give way.
     """
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS]
-    wanted = docs.select(*own, F.col(f"`{text}`").cast("string").alias("_text"))
+    wanted = docs.select(*own, F.col(f"`{text}`").cast("string").alias("_periodic_text"))
     schema = StructType([StructField(f.name, f.dataType) for f in wanted.schema.fields[:-1]] + StructType.fromDDL(
         ", ".join(f"{n} {kind}" for n, kind in RESULTS.items())).fields)
     return wanted.mapInArrow(_search, schema)

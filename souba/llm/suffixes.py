@@ -3,10 +3,10 @@
 Equal strings are brought together first. The anchor of a 200-byte string is its 16-byte piece with the smallest hash,
 pieces known to be very frequent coming after all others; equal strings have equal anchors. Starts in a row with one
 anchor make a context, the bytes of all their strings. Contexts that occur twice are repeated throughout. Where
-several different contexts have one anchor, their suffixes are merged: every context is a shard with the suffix order
-of its own text, and the order of all suffixes together is found by refining an interleave, block by block, on the
-symbol before - here a block of the last round, so that each round doubles the length compared. Only rows of blocks
-with two rows or more move; a block that is left at 200 bytes is a repeated interval. No suffix is sorted anew.
+several different contexts have one anchor, the order of their suffixes is found by refining blocks of equal prefixes,
+each round comparing twice the length of the one before: an interleave of the contexts, but one whose rounds sort the
+blocks' rows by ranks instead of reading a Burrows-Wheeler transform of each shard. Only rows of blocks with two rows or
+more move; a block that is left at 200 bytes is a repeated interval.
 
 An anchor with more than MAX_CONTEXTS different contexts would make one large task; its strings are compared by their
 128-bit hashes instead, each string a key of its own.

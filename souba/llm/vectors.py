@@ -303,9 +303,9 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, id_column: str = "v
     told = told.join(least, "component").select("unit", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n"), "component_id")
     own = checked.groupBy("node").agg(F.sum("links").alias("own"))
     result = members.select("node", "unit").join(told, "unit").join(own, "node", "left").select(
-        "node", (F.col("n") + F.coalesce("own", F.lit(0))).alias("_n"), F.col("component_id").alias("_component"))
-    rows = vectors.withColumn("_node", _node(_doubles(embedding)))
-    rows = rows.join(result, F.col("_node") == F.col("node"), "left")
-    component = F.when(F.col("_node").isNull(), F.col(f"`{id_column}`")).otherwise(F.col("_component"))
-    return replaced(rows, n_links=F.coalesce("_n", F.lit(0)), component_id=component,
-                    kept=F.coalesce(F.col(f"`{id_column}`") == component, F.lit(False))).drop("_node", "node", "_n", "_component")
+        F.col("node").alias("_link_node"), (F.col("n") + F.coalesce("own", F.lit(0))).alias("_link_n"), F.col("component_id").alias("_link_component"))
+    rows = vectors.withColumn("_link_key", _node(_doubles(embedding)))
+    rows = rows.join(result, F.col("_link_key") == F.col("_link_node"), "left")
+    component = F.when(F.col("_link_key").isNull(), F.col(f"`{id_column}`")).otherwise(F.col("_link_component"))
+    return replaced(rows, n_links=F.coalesce("_link_n", F.lit(0)), component_id=component,
+                    kept=F.coalesce(F.col(f"`{id_column}`") == component, F.lit(False))).drop("_link_key", "_link_node", "_link_n", "_link_component")

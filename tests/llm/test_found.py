@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from souba.llm import periodic, search, vectors
 
@@ -54,7 +55,7 @@ class TestPeriodicRuns:
         monkeypatch.setattr(periodic, "CHUNK", 50)
         long = "lead " + "α b " * 40_000 + "end"
         rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a a a a a a"), (4, "a a a a a a"), (None, "x\ty\nx y  x y x y z"), (6, long), (7, "a a a a a a a"), (8, "A a A a A a")]
-        got = {(r["doc_id"], r["text"]): r for r in periodic.periodic_runs(documents(rows).withColumnRenamed("lang", "RUNS")).collect()}
+        got = {(r["doc_id"], r["text"]): r for r in periodic.periodic_runs(documents(rows).withColumnRenamed("lang", "RUNS").withColumn("_text", F.lit(1))).collect()}
         told = lambda key: ([tuple(r) for r in got[key]["runs"]], got[key]["collapsed"])
         assert len(got) == 8 and got[rows[0]]["source"] == "s" and "RUNS" not in got[rows[0]].asDict()
         assert told(rows[0]) == told(rows[1]) == ([], "") and told(rows[2]) == ([], "")
@@ -165,9 +166,9 @@ class TestNearVectors:
         return out
 
     def told(self, spark, rows):
-        frame = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], "x") for i, v in rows], "vec_id bigint, embedding array<double>, N_LINKS string")
+        frame = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], "x", "y") for i, v in rows], "vec_id bigint, embedding array<double>, N_LINKS string, node string")
         got = vectors.link_vectors(frame)
-        assert sorted(got.columns) == ["component_id", "embedding", "kept", "n_links", "vec_id"]
+        assert sorted(got.columns) == ["component_id", "embedding", "kept", "n_links", "node", "vec_id"]
         key = lambda r: (r[0] is None, r[0] or 0, *map(str, r))
         return sorted((tuple(r) for r in got.select("vec_id", "n_links", "component_id", "kept").collect()), key=key), sorted(brute_links(rows), key=key)
 
