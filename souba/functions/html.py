@@ -15,6 +15,7 @@ from souba.functions.text import blank_to_null, let, strip
 
 _DOT_ALL = "(?is)"
 _CLASS = r"(?is)\bclass\s*=\s*[\"']([^\"']*)[\"']"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _INERT = "\ue000"       # stands for a < inside a comment
 
 # --- fixed values: named character references met on the pages ---------------
@@ -60,8 +61,8 @@ def tag_index(html: Column, scripts: bool = False) -> Column:
         attrs, skip = t["attrs"], F.when(t["name"] == "!--", 3).otherwise(1)
         text = F.when(t["name"].isNull(), F.concat(F.lit("<"), t["t"])).otherwise(
             F.substring(t["t"], F.char_length(attrs) + skip + 1, F.char_length(t["t"])))
-        tokens = F.concat(F.lit(" "), F.regexp_replace(F.regexp_extract(attrs, _CLASS, 1), r"\s+", " "), F.lit(" "))
-        name = F.coalesce(F.when(t["name"].rlike("[A-Z]"), F.lower(t["name"])).otherwise(t["name"]), F.lit(""))
+        tokens = F.concat(F.lit(" "), F.translate(F.regexp_extract(attrs, _CLASS, 1), "\t\n\f\r", "    "), F.lit(" "))
+        name = F.coalesce(F.translate(t["name"], _UPPER, _UPPER.lower()), F.lit(""))
         return F.struct(
             i.alias("at"), (~attrs.startswith("/")).alias("open"), name.alias("name"),
             F.when(attrs.contains("class") | attrs.contains("CLASS"), tokens).alias("tokens"), attrs.alias("attrs"),
