@@ -66,7 +66,7 @@ def tag_index(html: Column, scripts: bool = False) -> Column:
         return F.struct(
             i.alias("at"), (~attrs.startswith("/")).alias("open"), name.alias("name"),
             F.when(attrs.contains("class") | attrs.contains("CLASS"), tokens).alias("tokens"), attrs.alias("attrs"),
-            F.when(text.contains("&"), unescape(text)).otherwise(text).alias("text"))
+            unescape(text).alias("text"))
     pieces = F.split(F.concat(F.lit("page>"), page), "<")
     return F.transform(F.transform(F.transform(pieces, named), parted), read)
 
@@ -107,8 +107,8 @@ def element(index: Column) -> Column:
 def first(index: Column, tag: str | None = None, css_class: str | None = None, attribute: str | None = None) -> Column:
     """The first such element inside an element or page; null when there is none."""
     def of(x: Column) -> Column:
-        at = F.get(F.filter(_inside(x), _opens(tag, css_class, attribute)), 0)["at"] - F.get(x, 0)["at"]
-        return element(F.when(at.isNotNull(), F.slice(x, at + 1, F.size(x))))
+        found = F.get(F.filter(_inside(x), _opens(tag, css_class, attribute)), 0)["at"]
+        return element(let(found - F.get(x, 0)["at"], lambda at: F.when(at.isNotNull(), F.slice(x, at + 1, F.size(x)))))
     return let(index, of)
 
 
