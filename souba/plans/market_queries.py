@@ -53,7 +53,8 @@ LEFT JOIN supplier s ON s.s_suppkey = h.shop_key LEFT JOIN orders o ON o.o_order
 def listings_view(spark, sf_dir):
     """A5"""
     orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS order_key", "o_orderpriority AS search_query")
-    rows = with_shop(history(spark, sf_dir), spark, sf_dir).join(orders, "order_key", "left")
+    # What observations carry is moved with each join: the code comes with the product, names of shops after the orders.
+    rows = with_shop(history(spark, sf_dir).drop("item_code").join(orders, "order_key", "left"), spark, sf_dir)
     view = facts_op.listings_view(rows, catalogue(spark, sf_dir))
     return view.withColumns({"itemPrice": F.coalesce("itemPrice", F.lit(-1)),
                              "scraped_at": text.date_label(F.col("scraped_at"))})
