@@ -7,9 +7,12 @@ groups. Then the join proper finds every link between different groups:
 
 * all shingles have one global order by class: private ones (of one group only), rare ones, frequent ones (of many
   groups), each by hash;
-* a set's prefix is long enough that two similar sets must share in it a shingle that is not frequent, or K frequent
-  ones: it is extended by K - 1 when it reaches frequent shingles;
-* rare shingles of a prefix are index keys one by one, frequent ones as combinations of K; private ones need no key;
+* a set's prefix is long enough that two similar sets must share in it a shingle that is not frequent, or c + 1 frequent
+  ones: it is extended by c when it reaches frequent shingles;
+* rare shingles of a prefix are index keys one by one; frequent ones have one of c colours, and pairs of one colour are
+  keys: of c + 1 shared shingles two have the same. Private shingles need no key;
+* c grows with the set, so that keys are some two for a shingle and not the square of the prefix, and a pair of sets meets
+  in few of them. Two sets use the c of the larger one, so a set has the keys of each size that a similar set may have;
 * documents of different groups with a key in common, and of fitting sizes, are verified on their whole sets.
 
 Two documents compared with the same centre need no keys: what each shares with the centre, and how many of its other
@@ -36,7 +39,7 @@ from souba.llm.common import written
 from souba.llm.components import components
 
 WORDS = 5                # in a shingle
-K = 2                    # frequent shingles in a combination
+SPARED = 4               # colours, at most, for so many shingles shared by similar sets
 FREQUENT = 16            # groups a shingle is in, to be frequent
 BANDS = 8                # pairs of minimum hashes near copies are collapsed by
 CODE_BITS = 24           # that tell shingles of one bucket apart, to class them
@@ -96,7 +99,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(s))
             high.append(int.from_bytes(digest[:8], "little", signed=True))
             low.append(int.from_bytes(digest[8:], "little", signed=True))
-            least = np.array([_mixed(s * m).min() for m in _MULTIPLIERS]) if len(s) else np.zeros(2 * BANDS, dtype=np.uint64)
+            least = (s * _MULTIPLIERS[:, None]).min(axis=1) if len(s) else np.zeros(2 * BANDS, dtype=np.uint64)     # shingles are mixed already
             bands.append((_mixed(least[::2] * _BASE + least[1::2]) + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist())
         yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
                                           pa.array(bands, pa.list_(pa.int64()))], names=["key", "n", "high", "low", "bands"])
@@ -221,6 +224,25 @@ def classed(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray) -> np.
     return bitmaps.has(shared, place).astype(np.int8) + bitmaps.has(frequent, place)
 
 
+def colours(n: int, percent: int) -> int:
+    """Colours of frequent shingles where the larger of two sets has n: fewer than similar sets share, a power of four."""
+    shared = least_overlap(n, percent)
+    return 0 if shared < 2 else 1 << 2 * ((max(shared // SPARED, 1).bit_length() - 1) // 2)
+
+
+def coloured_pairs(tokens: np.ndarray, c: int) -> np.ndarray:
+    """A key for each pair of sorted shingles of the same of c colours; without colours, for each shingle."""
+    if c == 0:
+        return tokens
+    colour = tokens & np.uint64(c - 1)
+    order = np.argsort(colour, kind="stable")
+    tokens, colour = tokens[order], colour[order]
+    later = np.searchsorted(colour, colour, side="right") - np.arange(len(tokens)) - 1
+    one = np.repeat(np.arange(len(tokens)), later)
+    other = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(later) - later, later)
+    return _mixed(tokens[one] * _BASE + tokens[other] + np.uint64(c))
+
+
 def index_keys(tokens: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     """The index keys of one set (see the module's text) from its sorted shingles and their classes."""
     order = np.argsort(rank, kind="stable")
@@ -229,27 +251,41 @@ def index_keys(tokens: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray
     plain = int(np.searchsorted(rank, 2))
     if plain >= needed:
         return tokens[:needed][rank[:needed] > 0]
-    combined = tokens[plain:needed + K - 1]
-    i, j = np.triu_indices(len(combined), 1)
-    return np.concatenate([tokens[:plain][rank[:plain] > 0], _mixed(combined[i] * _BASE + combined[j])])
+    keys, c, most = [tokens[:plain][rank[:plain] > 0]], colours(len(tokens), percent), colours(len(tokens) * 100 // percent, percent)
+    while c <= most:
+        keys.append(coloured_pairs(tokens[plain:needed + c], c))
+        c = max(1, c * 4)
+    return np.concatenate(keys)
 
 
 def _postings(shared, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A row for each index key of a document, and one without a key; ``open`` is the number of its shared shingles."""
+    def rows(batch: pa.RecordBatch, whose: list[int], keys: list[np.ndarray], sizes: list[int], shared_: list[int]) -> pa.RecordBatch:
+        times = [1 + len(k) for k in keys]
+        ends = np.cumsum(times)
+        none = np.zeros(ends[-1], dtype=bool)
+        none[ends - times] = True
+        values = np.zeros(ends[-1], dtype=np.int64)
+        values[~none] = np.concatenate(keys).view(np.int64)
+        again = pa.array(np.repeat(whose, times))
+        return pa.RecordBatch.from_arrays([pa.array(values, mask=none), *(batch.column(c).take(again) for c in ("_key", "_group", "_ref")),
+                                           pa.array(np.repeat(sizes, times), pa.int64()), pa.array(np.repeat(shared_, times), pa.int64())],
+                                          names=["token", "key", "group", "ref", "n", "open"])
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, (several, many) = _WordHashes(), shared.value
         for batch in batches:
+            held, size = [], 0
             for i, text in enumerate(batch.column("_text")):
                 s = shingles(text.as_py(), cache)
                 rank = classed(s, several, many)
-                keys = index_keys(s, rank, percent).view(np.int64) if len(s) else s.view(np.int64)
-                for at in range(0, len(keys) + 1, 100_000):
-                    part = pa.array([None] * (at == 0) + keys[at:at + 100_000].tolist(), pa.int64())
-                    again = pa.array(np.full(len(part), i))
-                    yield pa.RecordBatch.from_arrays(
-                        [part, *(batch.column(c).take(again) for c in ("_key", "_group", "_ref")),
-                         pa.array(np.full(len(part), len(s)), pa.int64()), pa.array(np.full(len(part), np.count_nonzero(rank)), pa.int64())],
-                        names=["token", "key", "group", "ref", "n", "open"])
+                held.append((i, index_keys(s, rank, percent) if len(s) else s, len(s), int(np.count_nonzero(rank))))
+                size += 1 + len(held[-1][1])
+                if size >= 50_000:
+                    yield rows(batch, *map(list, zip(*held)))
+                    held, size = [], 0
+            if held:
+                yield rows(batch, *map(list, zip(*held)))
     return post
 
 
