@@ -180,21 +180,28 @@ def _content(whole: bytes, start: int, starts: int) -> int:
 
 
 def _context_bytes(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The bytes of the contexts that are asked for, and now and then of another."""
+    """The bytes of the contexts that are asked for, and now and then of another; a task seldom shows a context twice."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, frequent, asked = shared.value
+        repeated, frequent, asked, crowded = shared.value
+        told: set[tuple[int, int]] = set()
         for batch in batches:
             rows = []
+            if len(told) > 200_000:
+                told.clear()
             for text, t1 in zip(batch.column("_text"), batch.column("_t1").to_pylist()):
                 raw = _raw(text.as_py())
                 whole, found = raw.tobytes(), list(contexts(raw, repeated, frequent))
                 places = np.array([xxhash.xxh64_intdigest(_known(t1, c[1]), seed=42) >> 64 - bitmaps.BITS for c in found], dtype=np.int64)
                 for k in np.flatnonzero(bitmaps.has(asked, places)):
                     anchor, start, starts, _ = found[k]
-                    rows.append((anchor, _content(whole, start, starts), whole[start:start + starts - 1 + LENGTH]))
+                    name = anchor, _content(whole, start, starts)
+                    if name not in told:
+                        told.add(name)
+                        at = xxhash.xxh64_intdigest(anchor.to_bytes(8, "little"), seed=42) >> 64 - bitmaps.BITS
+                        rows.append((*name, whole[start:start + starts - 1 + LENGTH], bool(bitmaps.has(crowded, np.array([at]))[0])))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))],
-                                                 names=["anchor", "content", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.bool_()))],
+                                                 names=["anchor", "content", "bytes", "crowd"])
     return scan
 
 
@@ -256,7 +263,8 @@ def covered(starts: np.ndarray, length: int = LENGTH) -> list[int]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered bytes of contexts; rows come sorted by anchor and whole anchors are merged at once."""
+    """Covered bytes of contexts; rows come sorted by anchor and content, whole anchors are merged at once, and a context
+    that comes again is passed over."""
     held: list[tuple[int, int, bytes]] = []
     size = 0
 
@@ -269,6 +277,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= MERGE_BYTES and row[0] != held[-1][0]:
                 yield flush(held)
                 held, size = [], 0
+            if held and row[:2] == held[-1][:2]:
+                continue
             held.append(row)
             size += len(row[2])
     if held:
@@ -306,7 +316,7 @@ def joined_spans(spans: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cut(kept_columns: list[str], keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, counts, digests, kept = [], [], [], [], []
@@ -324,7 +334,7 @@ def _cut(keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 kept.append(rest)
             more = {"n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(counts, pa.int64()),
                     "kept_sha256": pa.array(digests, pa.string())}
-            yield with_columns(batch.drop_columns(["_text", "_spans"]), **more, **({"kept": pa.array(kept, pa.binary())} if keep else {}))
+            yield with_columns(batch.select(kept_columns), **more, **({"kept": pa.array(kept, pa.binary())} if keep else {}))
     return cut
 
 
@@ -339,8 +349,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: bool = False) -> D
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep]
     digest = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     halves = [F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint") for at in (1, 16)]
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in results], F.col(f"`{text}`").alias("_text"),
-                      halves[0].alias("_t1"), halves[1].alias("_t2"))
+    others = [c for c in docs.columns if c.lower() not in results and c != text]
+    own = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("_text"), halves[0].alias("_t1"), halves[1].alias("_t2"))      # a text moves once
     long = own.select("_text", "_t1", "_t2").filter(F.octet_length("_text") >= LENGTH)
     size = long.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     context = docs.sparkSession.sparkContext
@@ -348,23 +358,27 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: bool = False) -> D
     schema = "anchor bigint, content bigint, t1 bigint, t2 bigint, start int, starts int, many boolean"
     found = written(long.mapInArrow(_context_rows(context.broadcast(classes)), schema), "contexts")      # classes have a fixed size
     name = ["anchor", "content"]
-    kinds = found.groupBy(*name).agg(F.count("*").alias("n"), F.max("many").alias("many"), F.max("starts").alias("starts"), F.min(F.struct("t1", "start")).alias("at"))
-    kinds = written(kinds, "kinds")
+    number = F.col("t1").bitwiseXOR(F.shiftleft(F.col("start").cast("bigint"), 36))
+    kinds = written(found.groupBy(*name).agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min(number).alias("number")), "kinds")
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("d"), F.max("many").alias("many"), F.min("n").alias("n")).filter("n = 1 and (d > 1 or many)")
-    compared = written(kinds.select(*name, "at").join(open_.select("anchor", (F.col("d") > MAX_CONTEXTS).alias("crowd")), "anchor"), "compared")
-    number = F.col("at.t1").bitwiseXOR(F.shiftleft(F.col("at.start").cast("bigint"), 36))
-    asked = bitmaps.of_keys(compared.select(number.alias("number")), "number")
-    shown = long.mapInArrow(_context_bytes(context.broadcast((*classes, asked))), "anchor bigint, content bigint, bytes binary")
-    shown = written(shown.dropDuplicates(name).join(compared.drop("at"), name), "shown")
-    calm = shown.filter("not crowd").drop("crowd").repartition("anchor").sortWithinPartitions("anchor")
-    spans = calm.mapInArrow(_merge, "anchor bigint, content bigint, spans array<int>").filter("size(spans) > 0")
-    spans = spans.union(_crowded(shown.filter("crowd")).select(*name, "spans"))
+    open_ = written(open_.select("anchor", (F.col("d") > MAX_CONTEXTS).alias("crowd")), "open")
+    asked = bitmaps.of_keys(kinds.select("anchor", "number").join(open_.select("anchor"), "anchor"), "number")
+    crowded = bitmaps.of_keys(open_.filter("crowd"), "anchor")
+    shown = long.mapInArrow(_context_bytes(context.broadcast((*classes, asked, crowded))), "anchor bigint, content bigint, bytes binary, crowd boolean")
+    if crowded.any():
+        shown = written(shown, "shown")
+    calm = shown.filter("not crowd").drop("crowd").repartition("anchor").sortWithinPartitions(*name)
+    judged = calm.mapInArrow(_merge, "anchor bigint, content bigint, spans array<int>").filter("size(spans) > 0")
+    if crowded.any():
+        judged = judged.union(_crowded(shown.filter("crowd").dropDuplicates(name)).select(*name, "spans"))
+    judged = judged.union(kinds.filter("n > 1").select(*name, F.lit(None).cast("array<int>")))       # without spans: repeated throughout
     whole = F.array(F.lit(0), F.col("starts") - 1 + LENGTH)
-    judged = kinds.join(spans, name, "left").select(*name, F.when(F.col("n") > 1, whole).otherwise(F.col("spans")).alias("spans")).filter("spans is not null")
-    shifted = F.transform("spans", lambda x: x + F.col("start"))
+    shifted = F.transform(F.coalesce("spans", whole), lambda x: x + F.col("start"))
     hits = found.join(judged, name).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), shifted.alias("s"))
     hits = hits.groupBy("_t1", "_t2").agg(F.flatten(F.collect_set("s")).alias("_spans"))
     ready = own.join(hits, ["_t1", "_t2"], "left").drop("_t1", "_t2")
-    own_fields = [StructField(f.name, f.dataType) for f in ready.schema if f.name not in ("_text", "_spans")]
+    kept_columns = ["_text" if c == text else c for c in docs.columns if c.lower() not in results]
+    fields = {f.name: f.dataType for f in ready.schema}
     more = StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep)
-    return ready.mapInArrow(_cut(keep), StructType(own_fields + more.fields))
+    cut = ready.mapInArrow(_cut(kept_columns, keep), StructType([*(StructField(c, fields[c]) for c in kept_columns), *more.fields]))
+    return cut.withColumnRenamed("_text", text)

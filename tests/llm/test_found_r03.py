@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from souba.llm import jaccard
@@ -28,3 +31,22 @@ def test_similar_sets_have_a_key_in_common(percent):
         rank = {int(t): r for t, r in zip(pool, rng.choice([1, 2], len(pool), p=[0.1, 0.9]) if rng.random() < 0.5 else np.full(len(pool), 2))}
         keys = [jaccard.index_keys(s, np.array([rank[int(t)] for t in s], dtype=np.int8), percent) for s in (np.sort(one), np.sort(two))]
         assert np.intersect1d(*keys).size
+
+
+def test_a_context_shown_twice_is_merged_once():
+    """op8_suffixes: contexts move once, and those that come from two tasks meet where they are merged."""
+    from souba.llm import suffixes
+    one, other = bytes(range(256)), bytes(range(255, -1, -1))
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 7, 8]), pa.array([1, 1, 2]), pa.array([one, one, other + other])], names=["anchor", "content", "bytes"])
+    found = [r for b in suffixes._merge(iter([batch])) for r in b.to_pylist()]
+    assert [(r["anchor"], r["spans"]) for r in found] == [(7, []), (8, [0, 512])]
+
+
+def test_a_text_moves_once_to_its_spans(spark):
+    from souba.llm import suffixes
+    docs = spark.createDataFrame([(1, "a" * 300), (2, None)], "doc_id bigint, text string")
+    found = suffixes.remove_repeats(docs)
+    assert found.columns == ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in found.collect()) == [(1, "a" * 300, 300), (2, None, 0)]
+    scanned = found.select("doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS _text" in scanned and not re.search(r"text#\d+, text#\d+ AS _text", scanned)
