@@ -31,19 +31,34 @@ def assembled(rows, names: list[str], bits: int) -> list[np.ndarray]:
     return out
 
 
-def place(column: str | Column) -> Column:
+def place(*columns: str | Column) -> Column:
     """A key's place in a bitmap of 2^BITS."""
-    return F.shiftrightunsigned(F.xxhash64(column), 64 - BITS)
+    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - BITS)
 
 
 def of_keys(keys: DataFrame, column: str) -> np.ndarray:
-    """Bitmap of the keys' places, packed on the executors in slices of 8 KiB."""
+    """Bitmap of the keys' places."""
+    return of_places(keys.select(place(column).alias("bit")), "bit")
+
+
+def of_places(keys: DataFrame, column: str) -> np.ndarray:
+    """Bitmap of given places, packed on the executors in slices of 8 KiB."""
     def pack(table: pa.Table) -> pa.Table:
         bits = np.zeros(1 << 16, dtype=np.uint8)
         bits[table.column("at").to_numpy()] = 1
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-    places = keys.select(place(column).alias("bit")).distinct().select(F.shiftright("bit", 16).alias("part"), F.col("bit").bitwiseAND(0xFFFF).alias("at"))
+    places = keys.select(F.col(column).cast("bigint").alias("bit")).distinct().select(F.shiftright("bit", 16).alias("part"), F.col("bit").bitwiseAND(0xFFFF).alias("at"))
     out = np.zeros(1 << BITS >> 3, dtype=np.uint8)
     for row in places.groupBy("part").applyInArrow(pack, "part bigint, bits binary").collect():
         out[row["part"] << 13:row["part"] + 1 << 13] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out
+
+
+def only(df: DataFrame, bitmap: np.ndarray, *columns: str | Column) -> DataFrame:
+    """The rows whose key is in a bitmap, and now and then another; nothing moves."""
+    shared, schema = df.sparkSession.sparkContext.broadcast(bitmap), df.schema
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(has(shared.value, batch.column("_place").to_numpy()))).drop_columns(["_place"])
+    return df.withColumn("_place", place(*columns)).mapInArrow(keep, schema)

@@ -359,10 +359,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: bool = False) -> D
     found = written(long.mapInArrow(_context_rows(context.broadcast(classes)), schema), "contexts")      # classes have a fixed size
     name = ["anchor", "content"]
     number = F.col("t1").bitwiseXOR(F.shiftleft(F.col("start").cast("bigint"), 36))
-    kinds = written(found.groupBy(*name).agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min(number).alias("number")), "kinds")
+    kinds = written(found.groupBy(*name).agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min(bitmaps.place(number).cast("int")).alias("place")), "kinds")
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("d"), F.max("many").alias("many"), F.min("n").alias("n")).filter("n = 1 and (d > 1 or many)")
     open_ = written(open_.select("anchor", (F.col("d") > MAX_CONTEXTS).alias("crowd")), "open")
-    asked = bitmaps.of_keys(kinds.select("anchor", "number").join(open_.select("anchor"), "anchor"), "number")
+    near = bitmaps.only(kinds, bitmaps.of_keys(open_, "anchor"), "anchor")
+    asked = bitmaps.of_places(near, "place")
+    likely = bitmaps.of_places(kinds.filter("n > 1").unionByName(near).select(bitmaps.place(*name).alias("place")), "place")
     crowded = bitmaps.of_keys(open_.filter("crowd"), "anchor")
     shown = long.mapInArrow(_context_bytes(context.broadcast((*classes, asked, crowded))), "anchor bigint, content bigint, bytes binary, crowd boolean")
     if crowded.any():
@@ -374,7 +376,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: bool = False) -> D
     judged = judged.union(kinds.filter("n > 1").select(*name, F.lit(None).cast("array<int>")))       # without spans: repeated throughout
     whole = F.array(F.lit(0), F.col("starts") - 1 + LENGTH)
     shifted = F.transform(F.coalesce("spans", whole), lambda x: x + F.col("start"))
-    hits = found.join(judged, name).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), shifted.alias("s"))
+    hits = bitmaps.only(found, likely, *name).join(judged, name).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), shifted.alias("s"))
     hits = hits.groupBy("_t1", "_t2").agg(F.flatten(F.collect_set("s")).alias("_spans"))
     ready = own.join(hits, ["_t1", "_t2"], "left").drop("_t1", "_t2")
     kept_columns = ["_text" if c == text else c for c in docs.columns if c.lower() not in results]
