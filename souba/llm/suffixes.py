@@ -4,7 +4,7 @@ Equal strings are brought together first. The anchor of a 200-byte string is its
 pieces known to be very frequent coming after all others; equal strings have equal anchors. Starts in a row with one
 anchor make a context, the bytes of all their strings. Contexts that occur twice are repeated throughout. Where
 several different contexts have one anchor, the order of their suffixes is found by refining blocks of equal prefixes,
-each round comparing twice the length of the one before: an interleave of the contexts, but one whose rounds sort the
+each round but the first comparing up to twice the length of the one before: an interleave of the contexts, but one whose rounds sort the
 blocks' rows by ranks instead of reading a Burrows-Wheeler transform of each shard. Only rows of blocks with two rows or
 more move; a block that is left at 200 bytes is a repeated interval.
 
@@ -33,6 +33,7 @@ FREQUENT = 1024          # places at which a piece is an anchor, to be passed ov
 MAX_CONTEXTS = 4096      # of one anchor, merged in one task
 MAX_STARTS = 256         # of one context
 MERGE_BYTES = 1 << 20    # merged at once, at least one anchor
+FIRST = 7                # symbols that the first round of a merge compares
 FLUSH = 1_000_000        # anchors a task holds before it passes them on
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _TOP = np.uint64(1 << 63)
@@ -216,12 +217,16 @@ def interleave(shards: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, n
     text = np.frombuffer(b"\x00".join(shards) + b"\x00", dtype=np.uint8).astype(np.int64) + 1
     text[np.cumsum([len(s) + 1 for s in shards]) - 1] = 0
     n = len(text)
-    order = np.argsort(text.astype(np.uint16), kind="stable")     # the interleave by one symbol
-    sorted_text = text[order]
-    start = np.flatnonzero(np.concatenate([[True], sorted_text[1:] != sorted_text[:-1]]))
+    done, key = min(FIRST, length), np.zeros(n, dtype=np.int64)
+    for i in range(done):
+        key <<= 9
+        key[:max(n - i, 0)] += text[i:] + 1
+    order = np.argsort(key)                                       # the interleave by the first symbols, nine bits each
+    key = key[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     block = np.empty(n, dtype=np.int64)
     block[order] = np.repeat(start, np.diff(np.append(start, n)))
-    done, sizes = 1, np.diff(np.append(start, n))
+    sizes = np.diff(np.append(start, n))
     moving = np.flatnonzero(np.repeat(sizes, sizes) > 1)          # places in the order whose blocks have several rows
     while done < length and len(moving):
         step = min(done, length - done)
@@ -229,7 +234,7 @@ def interleave(shards: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, n
         after = rows + step
         symbol = np.where(after < n, block[np.minimum(after, n - 1)] + 1, 0)
         key = block[rows] * (n + 1) + symbol
-        placed = np.argsort(key, kind="stable")
+        placed = np.argsort(key)
         rows, key = rows[placed], key[placed]
         first = np.concatenate([[True], key[1:] != key[:-1]])
         head = np.flatnonzero(first)
