@@ -21,6 +21,7 @@ from souba.llm.common import with_columns
 
 WINDOW = 13
 SLICE_WORDS = 2_000_000        # of items in one automaton; about 400 bytes a word in each task
+ROWS = 512                     # whose texts a task holds as Python strings
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -183,7 +184,7 @@ def item_slices(items: DataFrame, item_id: str, text: str, slice_words: int) ->
 def _pass(shared, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(shared.value, window)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             counts, spans, items = [], [], []
             for text, old_spans, old_items in zip(*(batch.column(c).to_pylist() for c in ("_text", "_spans", "_items"))):
                 words = words_of(text)
@@ -212,6 +213,12 @@ def _close(clean: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return close
 
 
+def _last_pass(shared, window: int, clean: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pass of the last slice and the results, in one function: two chained ones keep two Python processes a core."""
+    look, close = _pass(shared, window), _close(clean)
+    return lambda batches: close(look(batches))
+
+
 def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
               window: int = WINDOW, clean: bool = False, slice_words: int = SLICE_WORDS) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``items`` (ids as strings, sorted), ``hit_spans`` (word numbers, start and
@@ -227,10 +234,12 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
     wanted = docs.select(*own, F.col(f"`{text}`").alias("_text"), F.lit(0).cast("bigint").alias("_words"),
                          F.expr("array()").cast("array<bigint>").alias("_spans"), F.expr("array()").cast("array<string>").alias("_items"))
     schema = StructType([StructField(f.name, f.dataType) for f in wanted.schema])
-    for part in list(item_slices(items, item_id, item_text, slice_words)) or [[]]:
-        wanted = wanted.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(part), window), schema)
+    *parts, last = [docs.sparkSession.sparkContext.broadcast(part) for part in item_slices(items, item_id, item_text, slice_words)] or [
+        docs.sparkSession.sparkContext.broadcast([])]
+    for part in parts:
+        wanted = wanted.mapInArrow(_pass(part, window), schema)
     closed = StructType(schema.fields[:-4] + StructType.fromDDL(", ".join(f"{n} {kind}" for n, kind in results.items())).fields)
-    return wanted.mapInArrow(_close(clean), closed)
+    return wanted.mapInArrow(_last_pass(last, window, clean), closed)
 
 
 def items_digest(items) -> str:

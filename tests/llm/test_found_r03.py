@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from souba.llm import jaccard
+from souba.llm import decontaminate, jaccard
 
 
 def test_index_keys_grow_with_the_set_and_not_with_its_square():
@@ -50,3 +50,17 @@ def test_a_text_moves_once_to_its_spans(spark):
     assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in found.collect()) == [(1, "a" * 300, 300), (2, None, 0)]
     scanned = found.select("doc_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "AS _text" in scanned and not re.search(r"text#\d+, text#\d+ AS _text", scanned)
+
+
+def test_decontamination_keeps_one_python_process_a_core(spark, documents):
+    """pipeline, op7_decontaminate: the pass and the results are one step in Python; the rows are those of two."""
+    words = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([("1", " ".join(words[:13])), ("2", "only five words in it")], "item_id string, text string")
+    texts = [" ".join(words), "other text", None, "", *["x " + " ".join(words[:13])] * decontaminate.ROWS]
+    found = decontaminate.find_hits(documents(list(enumerate(texts))).coalesce(1), items, clean=True)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["clean_text"]) for r in found.collect()}
+    assert len(got) == len(texts)
+    assert got[0] == (40, 13, ["1"], " " + " ".join(words[13:]))
+    assert [got[i] for i in (1, 2, 3)] == [(2, 0, [], "other text"), (0, 0, [], None), (0, 0, [], "")]
+    assert all(got[i] == (14, 13, ["1"], "x ") for i in range(4, len(texts)))
